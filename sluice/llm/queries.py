@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontaminate, language, secrets, simhash, tokens
+from sluice.llm import decontaminate, language, packing, quality, secrets, simhash, tokens, toxicity
 from sluice.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op1_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read(spark, sf_dir, "documents"))
+
+
 def op3_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
 
@@ -24,6 +28,14 @@ def op4_cross_parsing_language_id(spark: SparkSession, sf_dir: str) -> DataFrame
     return language.report(read(spark, sf_dir, "documents"))
 
 
+def op6_optimal_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(read(spark, sf_dir, "documents"))
+
+
+def op7_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -34,8 +46,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bit_packed_tokens": op1_bit_packed_tokens,
+    "op2_divergence_quality": op2_divergence_quality,
     "op3_markov_secret_scan": op3_markov_secret_scan,
     "op4_cross_parsing_language_id": op4_cross_parsing_language_id,
+    "op6_optimal_length_buckets": op6_optimal_length_buckets,
+    "op7_counterfactual_toxicity": op7_counterfactual_toxicity,
     "op8_fm_index_decontamination": op8_fm_index_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
