@@ -29,8 +29,9 @@ LEAST_WORDS = 100
 LEAST_CHARS = 200
 #: Largest Jensen-Shannon distances of a text that is kept, and what is added to them over the root of the count.
 CLASS_LIMIT = 0.2
-WORD_LIMIT = 0.4
-SPREAD = 2.0
+WORD_LIMIT = 0.16
+CLASS_SPREAD = 2.0
+WORD_SPREAD = 3.0
 
 
 def flat(text: Column) -> Column:
@@ -171,8 +172,8 @@ def judged(docs: DataFrame, known: dict[str, dict]) -> DataFrame:
     docs = docs.withColumn("word_distance", divergence(runs(F.col("__codes")), F.element_at(numbers("word_shares"), F.col("__at"))))
     docs = docs.withColumn("class_distance", divergence(classes, F.element_at(numbers("class_shares"), F.col("__at"))))
     chars, words = F.length("text"), F.size("__letters")
-    far = (chars >= LEAST_CHARS) & (F.col("class_distance") > CLASS_LIMIT + SPREAD / F.sqrt(chars))
-    odd = (words >= LEAST_WORDS) & (F.col("word_distance") > WORD_LIMIT + SPREAD / F.sqrt(words))
+    far = (chars >= LEAST_CHARS) & (F.col("class_distance") > CLASS_LIMIT + CLASS_SPREAD / F.sqrt(chars))
+    odd = (words >= LEAST_WORDS) & (F.col("word_distance") > WORD_LIMIT + WORD_SPREAD / F.sqrt(words))
     return docs.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far | odd, F.lit(False)))
 
 
