@@ -226,3 +226,10 @@ def report(docs: DataFrame) -> DataFrame:
     samples = learn(docs.where(~F.coalesce(held_out(docs), F.lit(True))))
     found = identify(docs.select("doc_id", F.coalesce(held_out(docs), F.lit(False)).alias("held_out"), "text"), samples)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, other columns) whose language can be told, unchanged: those that are ``und``
+    or score under ``least_score`` go. Learns as report() does."""
+    found = identify(docs, learn(docs.where(~F.coalesce(held_out(docs), F.lit(True)))))
+    return found.where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least_score)).select(*docs.columns)
