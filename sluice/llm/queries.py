@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontaminate, language, packing, quality, secrets, simhash, tokens, toxicity
+from sluice.llm import chat, decontaminate, language, packing, quality, secrets, simhash, tokens, toxicity
 from sluice.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op4_cross_parsing_language_id(spark: SparkSession, sf_dir: str) -> DataFrame
     return language.report(read(spark, sf_dir, "documents"))
 
 
+def op5_transcript_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(read(spark, sf_dir, "conversations"))
+
+
 def op6_optimal_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_divergence_quality": op2_divergence_quality,
     "op3_markov_secret_scan": op3_markov_secret_scan,
     "op4_cross_parsing_language_id": op4_cross_parsing_language_id,
+    "op5_transcript_hmm": op5_transcript_hmm,
     "op6_optimal_length_buckets": op6_optimal_length_buckets,
     "op7_counterfactual_toxicity": op7_counterfactual_toxicity,
     "op8_fm_index_decontamination": op8_fm_index_decontamination,
