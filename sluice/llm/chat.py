@@ -206,12 +206,13 @@ def _decoded(rows: pd.DataFrame, model: dict[str, np.ndarray]) -> pd.DataFrame:
     begun = np.cumsum(states % 2 == 0)
     group = np.repeat(np.arange(len(firsts)), np.diff([*firsts, len(rows)]))
     base = np.concatenate(([0], begun))[at[firsts]][group] - turns[group]
-    last = np.concatenate(([0], begun))[at[:-1]] - base  # turns begun before the piece
+    # Whether a turn was begun before the piece, be it in another segment.
+    opened = (np.concatenate(([0], begun))[at[:-1]] - base > 0) | (np.array(entries)[group] >= 0)
     return pd.DataFrame({
         "key": rows["key"], "place": rows["place"], "n_lines": counts,
         "role": [ROLES[s // 2] for s in states[at[:-1]]],
         "turn_no": begun[at[:-1]] - base - 1,
-        "rendered": [render(x, states[a:b], o > 0) for x, a, b, o in zip(lines, at[:-1].tolist(), at[1:].tolist(), last.tolist(), strict=True)],
+        "rendered": [render(x, states[a:b], o) for x, a, b, o in zip(lines, at[:-1].tolist(), at[1:].tolist(), opened.tolist(), strict=True)],
     })
 
 
