@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import chat, decontaminate, language, packing, quality, secrets, simhash, tokens, toxicity
+from sluice.llm import chat, decontaminate, language, licenses, packing, quality, secrets, simhash, tokens, toxicity
 from sluice.llm.common import read
 
 
@@ -44,6 +44,10 @@ def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_optimal_length_buckets": op6_optimal_length_buckets,
     "op7_counterfactual_toxicity": op7_counterfactual_toxicity,
     "op8_fm_index_decontamination": op8_fm_index_decontamination,
+    "op9_license_tfidf": op9_license_tfidf,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
