@@ -22,12 +22,12 @@ case("cross_one_row", "SELECT o_orderkey FROM {orders}, (SELECT max(o_orderdate)
 case("stage_expansion", "SELECT o_orderkey, stage FROM {orders} CROSS JOIN (VALUES (1), (2), (3)) AS s(stage) WHERE stage <= 1 + o_orderkey % 3")
 case(
     "recursive_hierarchy",
-    """WITH RECURSIVE up AS (SELECT n_nationkey AS node, n_nationkey AS at, 0 AS depth FROM {nation} UNION ALL
-    SELECT up.node, CAST(floor((up.at - 1) / 2) AS INT), up.depth + 1 FROM up WHERE up.at > 0 AND up.depth < 12)
-    SELECT node, max_by(at, depth) AS root, max(depth) AS depth FROM up GROUP BY node""",
-    """WITH RECURSIVE up AS (SELECT n_nationkey AS node, n_nationkey AS at, 0 AS depth FROM {nation} UNION ALL
-    SELECT up.node, CAST(floor((up.at - 1) / 2) AS INT), up.depth + 1 FROM up WHERE up.at > 0 AND up.depth < 12)
-    SELECT node, arg_max(at, depth) AS root, max(depth) AS depth FROM up GROUP BY node""",
+    """WITH RECURSIVE up AS (SELECT n_nationkey AS node, n_nationkey AS cur, 0 AS depth FROM {nation} UNION ALL
+    SELECT up.node, CAST(floor((up.cur - 1) / 2) AS INT), up.depth + 1 FROM up WHERE up.cur > 0 AND up.depth < 12)
+    SELECT node, max_by(cur, depth) AS root, max(depth) AS depth FROM up GROUP BY node""",
+    """WITH RECURSIVE up AS (SELECT n_nationkey AS node, n_nationkey AS cur, 0 AS depth FROM {nation} UNION ALL
+    SELECT up.node, CAST(floor((up.cur - 1) / 2) AS INT), up.depth + 1 FROM up WHERE up.cur > 0 AND up.depth < 12)
+    SELECT node, arg_max(cur, depth) AS root, max(depth) AS depth FROM up GROUP BY node""",
 )
 
 
