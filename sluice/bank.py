@@ -62,4 +62,4 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return QUERIES["agg_pricing_summary"](spark, folder)
 
 
-from sluice.operators import aggregates, functions, joins, queries, relational, views, windows  # noqa: E402, F401
+from sluice.operators import aggregates, functions, governed, joins, queries, relational, views, windows  # noqa: E402, F401
