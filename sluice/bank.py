@@ -59,7 +59,7 @@ def cents(column: str) -> str:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["agg_pricing_summary"](spark, folder)
+    return QUERIES["governed_aggregate"](spark, folder)
 
 
 from sluice.operators import aggregates, functions, governed, joins, queries, relational, views, windows  # noqa: E402, F401

@@ -61,6 +61,10 @@ def read(dump: list[dict]) -> Node:
         node.children = [build() for _ in range(raw["num-children"])]
         for k, v in node.fields.items():
             node.parts += [(k, read(x)) for x in _trees(v)]
+        if node.name == "Between" and all(map(node.part, ("input", "lower", "upper"))):
+            # Its own replacement hides the input behind a reference.
+            (value,), (low,), (high,) = map(node.part, ("input", "lower", "upper"))
+            return Node("And", {}, [Node("GreaterThanOrEqual", {}, [value, low]), Node("LessThanOrEqual", {}, [value, high])])
         return node
 
     return build()
