@@ -176,7 +176,7 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterator[p
     held: list[pd.DataFrame] = []
     size = 0
     for batch in batches:
-        rows = batch.to_pandas()
+        rows = batch.to_pandas(integer_object_nulls=True)
         if not len(rows):
             continue
         if size >= most:
@@ -217,12 +217,13 @@ def _decoded(rows: pd.DataFrame, model: dict[str, np.ndarray]) -> pd.DataFrame:
 
 
 _OUT = "key string, place long, n_lines long, role string, turn_no long, rendered string"
+_ARROW = pa.schema([("key", pa.string()), ("place", pa.int64()), ("n_lines", pa.int64()), ("role", pa.string()), ("turn_no", pa.int64()), ("rendered", pa.string()), ("segment", pa.int64())])
 
 
 def _short(model):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
-            yield pa.RecordBatch.from_pandas(_decoded(rows, model.value), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(_decoded(rows, model.value), schema=_ARROW.remove(6), preserve_index=False)
 
     return decode
 
@@ -287,7 +288,7 @@ def parse(pieces: DataFrame, model: dict[str, np.ndarray], long: int = LONG) ->
             rows["turns"] = 0
             found = _decoded(rows, held.value)
             found["segment"], found["key"] = rows["key"], rows["name"]
-            yield pa.RecordBatch.from_pandas(found[["key", "place", "n_lines", "role", "turn_no", "rendered", "segment"]], preserve_index=False)
+            yield pa.RecordBatch.from_pandas(found, schema=_ARROW, preserve_index=False)
 
     local = written(cut.join(ends, "segment").repartition("segment").sortWithinPartitions("segment", "at").mapInArrow(decode, _OUT + ", segment long"), "decoded-segments")
     # A segment's turns are counted from its own start; the number begun in the segments before is added.

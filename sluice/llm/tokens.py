@@ -209,7 +209,6 @@ def _writer(folder: str, tokenizer: str, end_id: int, shard_ids: int, block: int
 
         task = TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
         encode = encoder(tokenizer)
         names, ids, size, part = [], [], 0, 0
 
@@ -246,6 +245,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shard_i
     Null texts are empty; every document ends with ``end_id``. Rows are in ascending doc_id order, null ids first, repeated
     ids by text. No rows write no file.
     """
+    spark = docs.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(_writer(folder, tokenizer, end_id, shard_ids, block), MANIFEST), "token-manifest")
