@@ -126,6 +126,39 @@ CALIBRATION = {
     "join_dimension": f"SELECT p_brand, count(*) AS n FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey WHERE l_shipdate >= {MONTH} GROUP BY p_brand",
     "join_current": f"SELECT v.o_orderpriority AS p, CAST(sum({LINE}) AS BIGINT) AS cents FROM {{lineitem}} JOIN ({VERSIONS}) v ON v.version_key = l_orderkey WHERE v.is_current GROUP BY v.o_orderpriority",
     "join_reference": "SELECT r_name, count(*) AS n FROM {nation} JOIN {region} ON r_regionkey = n_regionkey GROUP BY r_name",
+    "day_sum": f"SELECT CAST(sum({LINE}) AS BIGINT) AS cents FROM {{lineitem}} WHERE l_shipdate = {DAY}",
+    "day_keys": f"SELECT l_orderkey, l_returnflag FROM {{lineitem}} WHERE l_shipdate = {DAY}",
+    "day_wide": f"SELECT * FROM {{lineitem}} WHERE l_shipdate = {DAY}",
+    "range_month_sum": f"SELECT CAST(sum({cents('l_extendedprice * l_discount')}) AS BIGINT) AS fee FROM {{lineitem}} WHERE l_shipdate >= {MONTH}",
+    "range_after_two_columns": f"SELECT l_returnflag, l_extendedprice FROM {{lineitem}} WHERE l_shipdate > {DAY}",
+    "full_group_status": "SELECT l_linestatus, count(*) AS n FROM {lineitem} GROUP BY l_linestatus",
+    "basket_day_count": f"SELECT count(*) AS n FROM {{orders}} WHERE o_orderdate = {DAY}",
+    "basket_day_group": f"SELECT o_orderpriority, count(*) AS n FROM {{orders}} WHERE o_orderdate = {DAY} GROUP BY o_orderpriority",
+    "basket_range_count": f"SELECT count(*) AS n FROM {{orders}} WHERE o_orderdate >= {MONTH}",
+    "basket_day_sum": f"SELECT CAST(sum({PRICE}) AS BIGINT) AS cents FROM {{orders}} WHERE o_orderdate = {DAY}",
+    "basket_full_count": "SELECT count(*) AS n FROM {orders}",
+    "dimension_segment": "SELECT c_mktsegment, count(*) AS n FROM {customer} GROUP BY c_mktsegment",
+    "dimension_nation": "SELECT c_nationkey, count(*) AS n FROM {customer} GROUP BY c_nationkey",
+    "dimension_customers": "SELECT count(*) AS n FROM {customer}",
+    "dimension_brand": "SELECT p_brand, count(*) AS n FROM {part} GROUP BY p_brand",
+    "dimension_size": "SELECT p_size, count(*) AS n FROM {part} GROUP BY p_size",
+    "dimension_type": "SELECT p_type, count(*) AS n FROM {part} GROUP BY p_type",
+    "dimension_supplier_nation": "SELECT s_nationkey, count(*) AS n FROM {supplier} GROUP BY s_nationkey",
+    "dimension_event_types": "SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type",
+    "dimension_events": "SELECT count(*) AS n FROM {events}",
+    "medium_two_sums": f"SELECT CAST(sum({PRICE}) AS BIGINT) AS cents, count(*) AS n FROM {{orders}} WHERE o_orderdate >= {MONTH}",
+    "medium_priority": "SELECT o_orderpriority, count(*) AS n FROM {orders} GROUP BY o_orderpriority",
+    "medium_suppliers": "SELECT count(*) AS n FROM {supplier}",
+    "medium_documents": "SELECT count(*) AS n FROM {documents}",
+    "medium_languages": "SELECT lang, count(*) AS n FROM {documents} GROUP BY lang",
+    "medium_sources": "SELECT source, count(*) AS n FROM {documents} GROUP BY source",
+    "medium_labels": "SELECT toxic, quality, count(*) AS n FROM {labels} GROUP BY toxic, quality",
+    "medium_turns": "SELECT role, count(*) AS n FROM {conversations} GROUP BY role",
+    "reference_region": "SELECT r_regionkey, r_name FROM {region}",
+    "reference_nation_region": "SELECT n_nationkey, n_regionkey FROM {nation}",
+    "reference_names": "SELECT n_name, n_regionkey FROM {nation} WHERE n_regionkey < 3",
+    "join_supplier": f"SELECT s_nationkey, count(*) AS n FROM {{lineitem}} JOIN {{supplier}} ON s_suppkey = l_suppkey WHERE l_shipdate = {DAY} GROUP BY s_nationkey",
+    "join_customer": f"SELECT c_nationkey, count(*) AS n FROM {{orders}} JOIN {{customer}} ON c_custkey = o_custkey WHERE o_orderdate = {DAY} GROUP BY c_nationkey",
 }
 for _key, _text in CALIBRATION.items():
     case(f"calibration_{_key}", _text)

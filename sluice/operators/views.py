@@ -76,6 +76,26 @@ INVARIANTS = (
     ("labels are zero or one", "SELECT count(*) AS n FROM {labels} WHERE quality NOT IN (0, 1) OR toxic NOT IN (0, 1)", None),
     ("turns run without gaps", "SELECT count(*) AS n FROM (SELECT conv_id FROM {conversations} GROUP BY conv_id HAVING max(turn) + 1 <> count(*) OR min(turn) <> 0) AS t", None),
     ("stages run from one without gaps", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM {orders} CROSS JOIN (VALUES (1), (2), (3), (4)) AS s(stage) WHERE stage <= 1 + o_orderkey % 4 GROUP BY o_orderkey HAVING max(stage) <> count(*)) AS t", None),
+    ("order keys are positive", "SELECT count(*) AS n FROM {orders} WHERE o_orderkey < 0", None),
+    ("totals are positive", "SELECT count(*) AS n FROM {orders} WHERE o_totalprice <= 0", None),
+    ("order states are known", "SELECT count(*) AS n FROM {orders} WHERE o_orderstatus NOT IN ('F', 'O', 'P')", None),
+    ("a priority is always set", "SELECT count(*) AS n FROM {orders} WHERE o_orderpriority IS NULL", None),
+    ("return flags are known", "SELECT count(*) AS n FROM {lineitem} WHERE l_returnflag NOT IN ('A', 'N', 'R')", None),
+    ("line states are known", "SELECT count(*) AS n FROM {lineitem} WHERE l_linestatus NOT IN ('F', 'O')", None),
+    ("a later line never ships with an earlier number twice", "SELECT count(*) AS n FROM (SELECT l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS b FROM {lineitem}) AS t WHERE l_linenumber < b", None),
+    ("two full lines are never equal", "SELECT count(*) AS n FROM (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate HAVING count(*) > 1) AS t", None),
+    ("customer keys are unique", "SELECT count(*) - count(DISTINCT c_custkey) AS n FROM {customer}", None),
+    ("supplier keys are unique", "SELECT count(*) - count(DISTINCT s_suppkey) AS n FROM {supplier}", None),
+    ("part keys are unique", "SELECT count(*) - count(DISTINCT p_partkey) AS n FROM {part}", None),
+    ("event ids are unique", "SELECT count(*) - count(DISTINCT event_id) AS n FROM {events}", None),
+    ("suppliers have a nation", "SELECT count(*) AS n FROM {supplier} WHERE s_nationkey NOT IN (SELECT n_nationkey FROM {nation})", None),
+    ("every supplier has been paid", "SELECT count(*) AS n FROM {supplier} s WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_suppkey = s.s_suppkey)", None),
+    ("a nation name quotes its key", "SELECT count(*) AS n FROM {nation} WHERE n_name NOT LIKE concat('%', CAST(n_nationkey AS STRING), '%')", "SELECT count(*) AS n FROM nation WHERE n_name NOT LIKE concat('%', CAST(n_nationkey AS VARCHAR), '%')"),
+    ("event kinds are known", "SELECT count(*) AS n FROM {events} WHERE event_type NOT IN ('signup', 'view', 'error', 'click', 'purchase')", None),
+    ("payouts sum up to their batches", f"SELECT CAST(abs((SELECT sum(paid) FROM (SELECT s_nationkey, sum(gross - fee) AS paid FROM ({BATCHES}) AS b JOIN {{supplier}} ON s_suppkey = l_suppkey GROUP BY s_nationkey) AS p) - (SELECT sum(gross - fee) FROM ({BATCHES}) AS c)) AS BIGINT) AS n", f"SELECT CAST(abs((SELECT sum(paid) FROM (SELECT s_nationkey, sum(gross - fee) AS paid FROM ({DUCK_BATCHES}) AS b JOIN supplier ON s_suppkey = l_suppkey GROUP BY s_nationkey) AS p) - (SELECT sum(gross - fee) FROM ({DUCK_BATCHES}) AS c)) AS BIGINT) AS n"),
+    ("roles are known", "SELECT count(*) AS n FROM {conversations} WHERE role NOT IN ('system', 'user', 'assistant')", None),
+    ("a conversation has one system turn at most", "SELECT count(*) AS n FROM (SELECT conv_id FROM {conversations} WHERE role = 'system' GROUP BY conv_id HAVING count(*) > 1) AS t", None),
+    ("pages have an address", "SELECT count(*) AS n FROM {pages} WHERE url NOT LIKE 'http%://%'", None),
 )
 
 
@@ -105,7 +125,23 @@ TRAPS = (
     ("duplicates", "SELECT count(*) AS wrong, count(DISTINCT l_orderkey * 100 + l_linenumber) AS correct FROM {lineitem}"),
     ("guests", "SELECT count(*) AS wrong, count(DISTINCT user_id) AS correct FROM {events}"),
 )
+@query("SELECT r_regionkey, CAST((CAST(concat(CAST(r_regionkey + 10 AS VARCHAR), lpad(CAST(r_regionkey * 7919 AS VARCHAR), 9, '0'), '1428', '00') AS HUGEINT) % 97) AS BIGINT) AS rest FROM {region}")
+def mod97_fold(spark, folder):
+    """The check-digit rest of a long number: its digits are folded one by one, so its length doesn't matter."""
+    rows = sql(spark, folder, "SELECT r_regionkey, concat(CAST(r_regionkey + 10 AS STRING), lpad(CAST(r_regionkey * 7919 AS STRING), 9, '0'), '1428', '00') AS number FROM {region}")
+    digits = F.filter(F.split("number", ""), lambda d: d != "")
+    return rows.select("r_regionkey", F.aggregate(digits, F.lit(0).cast("long"), lambda rest, d: (rest * 10 + d.cast("long")) % 97).alias("rest"))
+
+
 _TRAP = "SELECT '{0}' AS trap, CAST(wrong AS BIGINT) AS wrong, CAST(correct AS BIGINT) AS correct, 100.0E0 * (wrong - correct) / nullif(correct, 0) AS percent_off FROM ({1}) AS t{2}"
 TRAPS_SQL = " UNION ALL ".join(_TRAP.replace("{0}", n).replace("{1}", t).replace("{2}", str(i)) for i, (n, t) in enumerate(TRAPS))
 case("traps_nine", TRAPS_SQL)
 assert plain  # re-exported for tests
+
+
+# The report: scalars, and bands.
+case(
+    "report_scalars",
+    "SELECT (SELECT count(*) FROM {lineitem}) AS n_lines, (SELECT count(*) FROM {orders}) AS n_orders, (SELECT count(*) FROM {customer}) AS n_customers, (SELECT count(*) FROM {supplier}) AS n_suppliers, (SELECT count(DISTINCT o_custkey) FROM {orders}) AS n_buyers, (SELECT max(o_orderdate) FROM {orders}) AS last_day, (SELECT count(*) FROM {documents}) AS n_documents",
+)
+case("report_bands", "SELECT CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'medium' ELSE 'large' END AS band, count(*) AS n, CAST(count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS DOUBLE) / count(*) AS rate FROM {lineitem} JOIN {part} ON p_partkey = l_partkey GROUP BY 1")
