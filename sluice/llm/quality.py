@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS = r"[^\x20\x09-\x0D]+"
-BREAKS = "\t\n\x0b\x0c\r"
-#: Character classes by pattern; what none of them takes is a class of its own.
-CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()-]", r"[#*$%&|<>]")
+SPACE, SYMBOL = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
+#: Character classes by pattern, after white space; all other characters (lower-case letters above all) make one more class.
+CLASSES = (SYMBOL, r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()-]")
 #: Common words a language, and the languages with a reference of their own: the ones with most documents.
 COMMON = 40
 LANGUAGES = 64
@@ -34,30 +34,32 @@ CLASS_SPREAD = 2.0
 WORD_SPREAD = 3.0
 
 
-def flat(text: Column) -> Column:
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), BREAKS, "     ")
-
-
 def words_of(text: Column) -> Column:
     """Words between ASCII white space, in order."""
-    return F.filter(F.split(flat(text), " "), lambda w: w != "")
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORDS), F.lit(0))
 
 
 def repeat_words(words: Column, size: int = 3) -> Column:
     """How many words lie in a window of ``size`` words that occurs twice or more, the first time included.
 
-    Windows are told apart by 64-bit hashes, sorted with their places; a place is repeated if a neighbour has its hash. The
-    places, sorted again, cover the words: each adds as many as lie beyond the one before.
+    Windows are told apart by 64-bit hashes. If they aren't all different, they are sorted with their places; a place is
+    repeated if a neighbour has its hash. The places, sorted again, cover the words: each adds as many as lie beyond the one
+    before.
     """
     n = F.size(words) - (size - 1)
     places = F.sequence(F.lit(0), n - 1)
-    hashed = F.transform(places, lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(size)]).alias("h"), i.alias("i")))
+    hashes = F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
+
     def covered(s):
         again = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
         return F.transform(F.array(F.sort_array(F.transform(again, lambda x: x["i"]))), lambda p: F.aggregate(p, F.struct(F.lit(-size).alias("last"), F.lit(0).alias("sum")), lambda a, i: F.struct(i.alias("last"), (a["sum"] + F.least(F.lit(size), i - a["last"])).alias("sum")), lambda a: a["sum"]))
-    # Arrays of one array, so that each sorted array is named once.
-    total = F.transform(F.array(F.sort_array(hashed)), lambda s: F.get(covered(s), F.lit(0)))
-    return F.when(n >= 2, F.get(total, F.lit(0))).otherwise(F.lit(0)).cast("long")
+    # Arrays of one array, so that each array is named once.
+    def counted(h):
+        placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        total = F.transform(F.array(F.sort_array(placed)), lambda s: F.get(covered(s), F.lit(0)))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(F.get(total, F.lit(0)))
+
+    return F.when(n >= 2, F.get(F.transform(F.array(hashes), counted), F.lit(0))).otherwise(F.lit(0)).cast("long")
 
 
 def dup_lines(text: Column) -> Column:
@@ -66,12 +68,14 @@ def dup_lines(text: Column) -> Column:
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with __words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.withColumn("__words", words_of(F.col("text"))).withColumn("n_words", F.size("__words").cast("long"))
+    """``docs`` (doc_id, text) with __words, __classes (characters by class), n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed."""
+    docs = docs.withColumn("__words", words_of(F.col("text")))
+    docs = docs.withColumn("__classes", class_counts(F.col("text"), F.col("__words")))
     docs = docs.withColumns({
-        "word_chars": F.length(F.translate(text, " " + BREAKS, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "n_words": F.size("__words").cast("long"),
+        "word_chars": (F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))) - F.get("__classes", F.lit(0))).cast("long"),
+        "n_symbols": F.get("__classes", F.lit(1)),
         "n_dup_lines": dup_lines(F.col("text")),
         "n_repeat_words": repeat_words(F.col("__words")),
     })
@@ -83,10 +87,11 @@ def letters_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def class_counts(text: Column) -> Column:
-    """Characters by class, the last one for all others."""
+def class_counts(text: Column, words: Column) -> Column:
+    """Characters by class: white space first, the last one for all others. ``words``: the text's words."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    counts = F.array(*[F.regexp_count(text, F.lit(c)).cast("long") for c in CLASSES])
+    space = (F.length(text) - F.length(F.array_join(words, ""))).cast("long")
+    counts = F.array(space, *[F.regexp_count(text, F.lit(c)).cast("long") for c in CLASSES])
     rest = lambda x: F.length(text) - F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
     return F.transform(F.array(counts), lambda x: F.concat(x, F.array(rest(x))))[0]
 
@@ -109,7 +114,7 @@ def references(docs: DataFrame) -> dict[str, dict]:
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
     found = seen.withColumn("k", F.row_number().over(first)).where(F.col("k") <= 2 * COMMON).select("w").distinct()
     candidates = sorted(x.w for x in found.collect())
-    counts = rows.select(group.alias("lang"), class_counts(F.col("text")).alias("c"), letters_of(F.col("text")).alias("w"))
+    counts = rows.select(group.alias("lang"), class_counts(F.col("text"), words_of(F.col("text"))).alias("c"), letters_of(F.col("text")).alias("w"))
     common = F.filter("w", lambda w: w.isin(candidates)) if candidates else F.array().cast("array<string>")
     counts = counts.select("lang", "c", F.size("w").cast("long").alias("n"), common.alias("w"))
     # One pass for both: a text gives a row for each class, one for its number of words, and one for each common word.
@@ -124,7 +129,7 @@ def references(docs: DataFrame) -> dict[str, dict]:
             own[x.bin] = own.get(x.bin, 0) + x.n
     out = {}
     for lang, n in by.items():
-        chars = [n.get(f"c{i}", 0) for i in range(len(CLASSES) + 1)]
+        chars = [n.get(f"c{i}", 0) for i in range(len(CLASSES) + 2)]
         words = sorted(((k[1:], v) for k, v in n.items() if k[0] == "w"), key=lambda x: (-x[1], x[0]))[:COMMON]
         total = n.get("n", 0)
         shares = [v / total for _, v in words]
@@ -166,8 +171,10 @@ def judged(docs: DataFrame, known: dict[str, dict]) -> DataFrame:
     numbers = lambda key: F.array(*[F.split(F.lit(",".join(map(repr, known[n][key]))), ",").cast("array<double>") for n in names])
     docs = base(docs).withColumn("__at", place)
     docs = docs.withColumn("__common", F.element_at(strings, F.col("__at"))).withColumn("__letters", letters_of(F.col("text")))
-    codes = F.sort_array(F.transform("__letters", lambda w: F.array_position("__common", w)))
-    docs = docs.withColumn("__codes", codes).withColumn("__classes", class_counts(F.col("text")))
+    # Most words are longer than any common one and need no look-up.
+    longest = max((len(w.encode()) for n in names for w in known[n]["words"]), default=0)
+    codes = F.sort_array(F.transform("__letters", lambda w: F.when(F.octet_length(w) > longest, F.lit(0).cast("long")).otherwise(F.array_position("__common", w))))
+    docs = docs.withColumn("__codes", codes)
     classes = F.filter(F.transform("__classes", lambda v, i: F.struct(i.alias("bin"), v.cast("double").alias("n"))), lambda x: x["n"] > 0)
     docs = docs.withColumn("word_distance", divergence(runs(F.col("__codes")), F.element_at(numbers("word_shares"), F.col("__at"))))
     docs = docs.withColumn("class_distance", divergence(classes, F.element_at(numbers("class_shares"), F.col("__at"))))
