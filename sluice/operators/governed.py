@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.bank import QUERIES, query, table
+from sluice.bank import query, table
 from sluice.governance import audit, catalog, cost, gateway, masks
 from sluice.governance.compare import fingerprint
 from sluice.governance.model import Principal
@@ -179,5 +179,3 @@ def metadata_count(spark, folder):
     """Count of a table; the vectorised reader opens no column for it."""
     return table(spark, folder, "orders").agg(F.count(F.lit(1)).alias("n"))
 
-
-assert QUERIES

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from sluice.bank import case, cents, plain, query, sql
+from sluice.bank import case, cents, query, sql
 
 #: An attempt is a line item; the same order and line number may have come in more than once.
 DEDUP = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS rn FROM {lineitem}) AS t WHERE rn = 1"
@@ -136,7 +136,6 @@ def mod97_fold(spark, folder):
 _TRAP = "SELECT '{0}' AS trap, CAST(wrong AS BIGINT) AS wrong, CAST(correct AS BIGINT) AS correct, 100.0E0 * (wrong - correct) / nullif(correct, 0) AS percent_off FROM ({1}) AS t{2}"
 TRAPS_SQL = " UNION ALL ".join(_TRAP.replace("{0}", n).replace("{1}", t).replace("{2}", str(i)) for i, (n, t) in enumerate(TRAPS))
 case("traps_nine", TRAPS_SQL)
-assert plain  # re-exported for tests
 
 
 # The report: scalars, and bands.
