@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +37,3 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt evenly over the shuffle partitions by keys that repeat little, when it lies in fewer partitions than that."""
-    return df.repartition(*[F.col(k) for k in keys])

@@ -11,7 +11,6 @@ benchmark text, each part in a pass of its own, so what is broadcast doesn't gro
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -192,7 +191,3 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
         edited = edited.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
     return edited.select(*docs.columns)
 
-
-def _sha(items: list[str]) -> str:
-    """What report() gives for a list of items; for tests."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
