@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SPACE, SYMBOL = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
-#: Character classes by pattern, after white space; all other characters (lower-case letters above all) make one more class.
-CLASSES = (SYMBOL, r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()-]")
+#: Character classes by pattern, after white space; what none of them takes (letters that aren't upper case) is one more.
+CLASSES = (SYMBOL, r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()-]", r"[^\p{L}\p{Nd}\x20\x09-\x0D.,;:!?'\"()#*$%&|<>-]")
 #: Common words a language, and the languages with a reference of their own: the ones with most documents.
 COMMON = 40
 LANGUAGES = 64
@@ -84,7 +84,7 @@ def base(docs: DataFrame) -> DataFrame:
 
 def letters_of(text: Column) -> Column:
     """Lower-case runs of letters."""
-    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}]+"), "")
 
 
 def class_counts(text: Column, words: Column) -> Column:
