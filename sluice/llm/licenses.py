@@ -8,8 +8,8 @@ A licence file is one whose name says so, or whose whole text, other words inclu
 its directory. A file without a licence of its own gets the one of the nearest directory above it that has one.
 
 All of it is DataFrame expressions and joins. Directories are made distinct before they are joined to their ancestors, so
-a directory with a third of all files is one row there; the join back to the files is a plain equi-join, which adaptive
-execution splits where a directory is large. Inverse frequencies are one row a template term.
+a directory with a third of all files is one row there; the join back to the files is salted. Inverse frequencies are one row
+a template term.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ ANCHOR = "(?i)licen[cs]|public domain|permission is hereby|redistribution and us
 FILE_NAME = "(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 WINDOW, STRIDE = 64, 32
 HEADER_COSINE = 0.75
+#: Tasks over which the files of one directory are spread where they meet its licence.
+SALTS = 32
 FILE_COSINE = 0.5
 
 
@@ -152,7 +154,10 @@ def inherit(found: DataFrame) -> DataFrame:
     dirs = found.select("__dir").distinct()
     ancestors = dirs.select("__dir", F.explode(F.array_distinct(above)).alias("above"))
     nearest = ancestors.join(given, "above").groupBy("__dir").agg(F.max_by("given", F.length("above")).alias("inherited"))
-    joined = found.join(nearest, "__dir", "left")
+    # A directory's files are spread over SALTS tasks, each of which gets the directory's row.
+    spread = nearest.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = found.withColumn("__salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(spread, ["__dir", "__salt"], "left")
     kind = F.when(F.col("__own").isNotNull(), "header").when(F.col("inherited").isNotNull(), "directory").otherwise("none")
     named = joined.withColumns({"license": F.coalesce("__own", "inherited"), "license_from": kind, "cosine": F.round("__cosine", 6)})
     return named.select(*columns, "license", "license_from", "cosine")
