@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SPACE, SYMBOL = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
-#: Character classes by pattern, after white space; what none of them takes (letters that aren't upper case) is one more.
-CLASSES = (SYMBOL, r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()-]", r"[^\p{L}\p{Nd}\x20\x09-\x0D.,;:!?'\"()#*$%&|<>-]")
+#: Character classes by pattern, after white space; letters that aren't upper case and characters of no class are two more.
+CLASSES = (SYMBOL, r"\p{Nd}", r"[.,;:!?'\"()-]", r"\p{Lu}")
 #: Common words a language, and the languages with a reference of their own: the ones with most documents.
 COMMON = 40
 LANGUAGES = 64
@@ -68,10 +68,10 @@ def dup_lines(text: Column) -> Column:
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with __words, __classes (characters by class), n_words, word_chars, n_symbols, n_dup_lines,
+    """``docs`` (doc_id, text) with __words, __letters, __classes (characters by class), n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed."""
-    docs = docs.withColumn("__words", words_of(F.col("text")))
-    docs = docs.withColumn("__classes", class_counts(F.col("text"), F.col("__words")))
+    docs = docs.withColumns({"__words": words_of(F.col("text")), "__letters": letters_of(F.col("text"))})
+    docs = docs.withColumn("__classes", class_counts(F.col("text"), F.col("__words"), F.col("__letters")))
     docs = docs.withColumns({
         "n_words": F.size("__words").cast("long"),
         "word_chars": (F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))) - F.get("__classes", F.lit(0))).cast("long"),
@@ -87,13 +87,17 @@ def letters_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}]+"), "")
 
 
-def class_counts(text: Column, words: Column) -> Column:
-    """Characters by class: white space first, the last one for all others. ``words``: the text's words."""
+def class_counts(text: Column, words: Column, letters: Column) -> Column:
+    """Characters by class: white space first, then CLASSES, letters that aren't upper case, and all others. ``words`` and
+    ``letters``: the text's words and runs of letters, whose lengths give the counts of white space and of letters."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    space = (F.length(text) - F.length(F.array_join(words, ""))).cast("long")
+    size, n_letters = F.length(text).cast("long"), F.length(F.array_join(letters, "")).cast("long")
+    space = size - F.length(F.array_join(words, ""))
     counts = F.array(space, *[F.regexp_count(text, F.lit(c)).cast("long") for c in CLASSES])
-    rest = lambda x: F.length(text) - F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
-    return F.transform(F.array(counts), lambda x: F.concat(x, F.array(rest(x))))[0]
+    none = F.lit(0).cast("long")
+    lower = lambda x: F.greatest(none, n_letters - F.get(x, F.lit(len(CLASSES))))
+    other = lambda x: F.greatest(none, size - n_letters - F.aggregate(F.slice(x, 1, len(CLASSES)), none, lambda s, v: s + v))
+    return F.transform(F.array(counts), lambda x: F.concat(x, F.array(lower(x), other(x))))[0]
 
 
 def references(docs: DataFrame) -> dict[str, dict]:
@@ -114,7 +118,8 @@ def references(docs: DataFrame) -> dict[str, dict]:
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
     found = seen.withColumn("k", F.row_number().over(first)).where(F.col("k") <= 2 * COMMON).select("w").distinct()
     candidates = sorted(x.w for x in found.collect())
-    counts = rows.select(group.alias("lang"), class_counts(F.col("text"), words_of(F.col("text"))).alias("c"), letters_of(F.col("text")).alias("w"))
+    counts = rows.select(group.alias("lang"), "text", words_of(F.col("text")).alias("all"), letters_of(F.col("text")).alias("w"))
+    counts = counts.select("lang", "w", class_counts(F.col("text"), F.col("all"), F.col("w")).alias("c"))
     common = F.filter("w", lambda w: w.isin(candidates)) if candidates else F.array().cast("array<string>")
     counts = counts.select("lang", "c", F.size("w").cast("long").alias("n"), common.alias("w"))
     # One pass for both: a text gives a row for each class, one for its number of words, and one for each common word.
@@ -129,7 +134,7 @@ def references(docs: DataFrame) -> dict[str, dict]:
             own[x.bin] = own.get(x.bin, 0) + x.n
     out = {}
     for lang, n in by.items():
-        chars = [n.get(f"c{i}", 0) for i in range(len(CLASSES) + 2)]
+        chars = [n.get(f"c{i}", 0) for i in range(len(CLASSES) + 3)]
         words = sorted(((k[1:], v) for k, v in n.items() if k[0] == "w"), key=lambda x: (-x[1], x[0]))[:COMMON]
         total = n.get("n", 0)
         shares = [v / total for _, v in words]
@@ -170,7 +175,7 @@ def judged(docs: DataFrame, known: dict[str, dict]) -> DataFrame:
     strings = F.array(*[F.split(F.lit(" ".join(known[n]["words"])), " ") for n in names])
     numbers = lambda key: F.array(*[F.split(F.lit(",".join(map(repr, known[n][key]))), ",").cast("array<double>") for n in names])
     docs = base(docs).withColumn("__at", place)
-    docs = docs.withColumn("__common", F.element_at(strings, F.col("__at"))).withColumn("__letters", letters_of(F.col("text")))
+    docs = docs.withColumn("__common", F.element_at(strings, F.col("__at")))
     # Most words are longer than any common one and need no look-up.
     longest = max((len(w.encode()) for n in names for w in known[n]["words"]), default=0)
     codes = F.sort_array(F.transform("__letters", lambda w: F.when(F.octet_length(w) > longest, F.lit(0).cast("long")).otherwise(F.array_position("__common", w))))
