@@ -1,11 +1,13 @@
 """License scans: sparse TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
-A text is looked at in windows of a line (long lines in overlapping windows), each window that has a word typical of licences
-as a vector over the templates' terms, weighted by inverse document frequencies counted over all documents. The template with
-the largest cosine names the window's licence, if the cosine is large enough, and the best window names the file's.
+A text is looked at in windows of a line (long lines in overlapping windows) and in windows of several sizes over all its
+terms, wherever lines end, each window that has a word typical of licences as a vector over the templates' terms, weighted
+by inverse document frequencies counted over all documents. The template with the largest cosine names the window's licence,
+if the cosine is large enough, and the best window names the file's. That rights are reserved says least: any other licence
+in the file goes before it. An SPDX line names its licence itself.
 
-A licence file is one whose name says so, or whose whole text, other words included, is close to a template; it holds for
-its directory. A file without a licence of its own gets the one of the nearest directory above it that has one.
+A licence file is one whose name says so, or whose whole text, other words included, is close to a template (which names the
+file's licence if no window does); it holds for its directory. A file without a licence of its own gets the one of the nearest directory above it that has one.
 
 All of it is DataFrame expressions and joins. Directories are made distinct before they are joined to their ancestors, so
 a directory with a third of all files is one row there; the join back to the files is salted. Inverse frequencies are one row
@@ -31,8 +33,11 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
@@ -44,12 +49,20 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Licensed under the ISC License."),
     ("Proprietary", "Copyright. All rights reserved. Unauthorized copying is prohibited."),
+    ("Proprietary", "All rights reserved."),
 )
 TERM = "[a-z]+|[0-9]+(?:[.][0-9]+)*"
 #: A window without any of these is no notice; every template has one.
 ANCHOR = "(?i)licen[cs]|public domain|permission is hereby|redistribution and use|all rights reserved"
+#: The same wherever lines end, and in terms with a space between them.
+WRAPPED = "(?i)licen[cs]|public[^a-z0-9]+domain|permission[^a-z0-9]+is[^a-z0-9]+hereby|redistribution[^a-z0-9]+and[^a-z0-9]+use|all[^a-z0-9]+rights[^a-z0-9]+reserved"
+SPDX = "(?i)SPDX-License-Identifier:[ \\t]*([A-Za-z0-9.-]+?)(?:-only|-or-later)?[+]?(?![A-Za-z0-9.+-])"
+#: The licence that any other goes before, and the words, in this order, without which a text doesn't have it.
+LEAST, RESERVED = "Proprietary", "(?i)all[^a-z0-9]+rights[^a-z0-9]+reserved"
 FILE_NAME = "(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 WINDOW, STRIDE = 64, 32
+#: Sizes of the windows over a whole text; they overlap by three quarters.
+RUNS = (16, 32, 64, 128)
 HEADER_COSINE = 0.75
 #: Tasks over which the files of one directory are spread where they meet its licence.
 SALTS = 32
@@ -114,27 +127,50 @@ def _best(terms: Column, weights: dict[str, float], others: bool) -> Column:
     return F.when(n > 0, found).otherwise(none)
 
 
+def cut(terms: Column, size: int, stride: int) -> Column:
+    """Overlapping windows of an array of terms."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(terms) - size) / stride).cast("int")))
+    return F.transform(starts, lambda i: F.slice(terms, i * stride + 1, F.lit(size)))
+
+
 def windows_of(text: Column) -> Column:
     """Arrays of terms: of each line with an anchor, long lines in overlapping windows."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(ANCHOR))
-    cut = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(t) - WINDOW) / STRIDE).cast("int"))), lambda i: F.slice(t, i * STRIDE + 1, F.lit(WINDOW)))
-    return F.when(text.rlike(ANCHOR), F.flatten(F.transform(F.transform(lines, terms_of), cut))).otherwise(F.array().cast("array<array<string>>"))
+    return F.when(text.rlike(ANCHOR), F.flatten(F.transform(F.transform(lines, terms_of), lambda t: cut(t, WINDOW, STRIDE)))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def runs_of(text: Column) -> Column:
+    """Arrays of terms: the windows over all terms of a text that have an anchor."""
+    held = lambda t: F.concat(*[F.filter(cut(t, n, n // 4), lambda w: F.array_join(w, " ").rlike(WRAPPED)) for n in RUNS])
+    return F.flatten(F.transform(F.array(terms_of(text)), held))
 
 
 def own_licenses(files: DataFrame, weights: dict[str, float]) -> DataFrame:
     """``files`` (path, text) with __own (the licence of the best window), __cosine, and __file (the licence that a licence
-    file gives its directory)."""
+    file gives its directory). Windows beyond a line count if they are close enough to name a licence."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     labels = F.array(*[F.lit(k) for k, _ in TEMPLATES])
     name = lambda best: F.get(labels, -best["template"])
-    best = F.array_max(F.transform(windows_of(text), lambda t: _best(t, weights, False)))
-    found = files.withColumn("__best", F.when(text.rlike(ANCHOR), best))
-    whole = F.when(F.coalesce(F.col("__best.cosine"), F.lit(0.0)) >= HEADER_COSINE, _best(terms_of(text), weights, True))
-    found = found.withColumn("__whole", whole)
+
+    def ranked(t):
+        best = F.transform(F.array(_best(t, weights, False)), lambda x: F.struct(((x["cosine"] >= HEADER_COSINE) & (name(x) != LEAST)).alias("first"), x["cosine"].alias("cosine"), x["template"].alias("template")))
+        return F.get(best, F.lit(0))
+
+    some = text.rlike(WRAPPED)
+    line = F.array_max(F.transform(windows_of(text), ranked))
+    run = F.array_max(F.filter(F.transform(runs_of(text), ranked), lambda x: x["cosine"] >= HEADER_COSINE))
+    found = files.withColumns({"__line": F.when(some, line), "__run": F.when(some, run), "__whole": F.when(some, _best(terms_of(text), weights, True))})
+    found = found.withColumn("__best", F.greatest("__line", "__run"))
     base = F.element_at(F.split("path", "/"), -1)
-    own = F.when(F.col("__best.cosine") >= HEADER_COSINE, name(F.col("__best")))
-    named = F.coalesce(base.rlike(FILE_NAME), F.lit(False)) | (F.coalesce(F.col("__whole.cosine"), F.lit(0.0)) >= FILE_COSINE)
-    return found.withColumns({"__own": own, "__cosine": F.coalesce(F.col("__best.cosine"), F.lit(0.0)), "__file": F.when(named, own)}).drop("__best", "__whole")
+    spdx = F.lower(F.regexp_extract(text, SPDX, 1))
+    said = F.get(F.filter(labels, lambda x: F.lower(x) == spdx), F.lit(0))
+    close = F.coalesce(F.col("__whole.cosine"), F.lit(0.0)) >= FILE_COSINE
+    least = lambda label: F.when((label != LEAST) | text.rlike(RESERVED), label)
+    far = F.when(F.col("__best.cosine") >= HEADER_COSINE, least(name(F.col("__best"))))
+    own = F.coalesce(F.when(some, said), F.when(F.col("__best.first"), far), F.when(close, least(name(F.col("__whole")))), far)
+    found = found.withColumn("__own", own)
+    named = F.coalesce(base.rlike(FILE_NAME), F.lit(False)) | close
+    return found.withColumns({"__cosine": F.coalesce(F.col("__best.cosine"), F.lit(0.0)), "__file": F.when(named, F.col("__own"))}).drop("__line", "__run", "__best", "__whole")
 
 
 def parent(path: Column) -> Column:

@@ -518,6 +518,23 @@ def test_cosines_against_brute_force(spark, data, texts):
         assert (r.license_from == "header") == (best[0] >= licenses.HEADER_COSINE) and (r.license_from != "header" or r.license == best[1])
 
 
+def test_wrapped_notices(spark, data):
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n#\n# 1. Redistributions of source code must retain the above copyright notice,\n# this list of conditions and the following disclaimer.\n#\n# 2. Redistributions in binary form must reproduce the above copyright\n# notice, this list of conditions and the following disclaimer in the\n# documentation and/or other materials provided with the distribution.\n"
+    third = "#\n# 3. Neither the name of the copyright holder nor the names of its\n# contributors may be used to endorse or promote products derived from this\n# software without specific prior written permission.\n"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n"
+    gnu = " * This {} is free software: you can redistribute it and/or modify\n * it under the terms of the GNU {}General Public License as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.\n"
+    code = "\ndef f(x):\n    return x\n" * 60
+    rows = {
+        "m/LICENSE": ("Copyright (c) 2020 Someone\n\n" + mit, "MIT"), "m/x.py": ("code", "MIT"), "n/mit.py": (code + mit + code, "MIT"), "n/b3.py": ("# Copyright (c) 2020, Someone\n# All rights reserved.\n#\n" + bsd + third + code, "BSD-3-Clause"), "n/b2.py": (bsd + code, None),
+        "n/g3.c": (gnu.format("program", "", 3) + code, "GPL-3.0"), "n/g2.c": (gnu.format("program", "", 2) + code, "GPL-2.0"), "n/l3.c": (gnu.format("library", "Lesser ", 3) + code, "LGPL-3.0"), "n/a3.c": (gnu.format("program", "Affero ", 3) + code, "AGPL-3.0"),
+        "n/mpl.js": ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */" + code, "MPL-2.0"), "n/free.txt": (code + "This is free and unencumbered software released into the public\ndomain." + code, "Unlicense"),
+        "o/bare.txt": ("words\nAll rights reserved.\nwords", "Proprietary"), "n/s1.c": ("// SPDX-License-Identifier: MIT\n" + code, "MIT"), "n/s2.c": ("// SPDX-License-Identifier: GPL-2.0-or-later\n", "GPL-2.0"), "n/s3.c": ("// SPDX-License-Identifier: BSL-1.0\n" + code, None), "n/none.txt": ("all his rights; a reserved man\nwith a driving license", None),
+    }
+    weights = licenses.inverse_frequencies(spark.read.parquet(f"{data}/documents.parquet").select("text"))
+    files = spark.createDataFrame([(p, t) for p, (t, _) in rows.items()], "path string, text string")
+    assert {r.path: r.license for r in licenses.inherit(licenses.own_licenses(files, weights)).collect()} == {p: k for p, (_, k) in rows.items()}
+
+
 def test_licences_of_odd_rows(odd, none):
     assert licenses.report(odd).count() == len(ODD) and licenses.report(none).count() == 0
 
