@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
 1. language ID: documents whose language can't be told go;
-2. SimHash near-dedup: one document of each group of near-duplicates stays;
+2. SimHash near-dedup: one row of each group of near-duplicates stays, the first by doc_id (null ones last) and text;
 3. benchmark decontamination: benchmark passages are cut out, documents that hold nothing else go;
 4. secret scans: secrets are masked in the text;
 5. packing: every document that is left gets its length bucket, batch and place.
@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, nameless=True)
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

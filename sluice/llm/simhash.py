@@ -17,8 +17,9 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.llm.common import written
 from sluice.llm.graph import components
@@ -115,14 +116,26 @@ def near_duplicates(docs: DataFrame, distance: int = 2, blocks: int = 5, crowd:
     return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 2, blocks: int = 5, crowd: int = 32) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest, one row for each such doc_id; all columns are kept.
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = np.array([fingerprint(shingle_hashes(t.as_py())) for t in batch.column("text").cast(pa.string())], np.uint64)
+        yield pa.record_batch([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "__fp"])
+
+
+def keep_one(docs: DataFrame, distance: int = 2, blocks: int = 5, crowd: int = 32, nameless: bool = False) -> DataFrame:
+    """One row of ``docs`` for each component, the first by doc_id (null ones last) and text; all columns are kept, and their
+    types must have an order.
 
-    Of rows that repeat a doc_id the first by text stays. Rows without a doc_id can't be told apart and go.
+    Rows are told apart by what they hold: different texts under one doc_id stay if they lie in different components. A row
+    without a doc_id is kept with ``nameless`` only, where its component has no row with one.
     """
-    found = near_duplicates(docs, distance, blocks, crowd)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    # The join has dealt and sorted the rows by doc_id, so this needs no further shuffle.
-    order = Window.partitionBy("doc_id").orderBy("text")
-    return named.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    marked = docs.mapInArrow(_marked, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    row = F.struct(F.col("doc_id").isNull().alias("__none"), "doc_id", "text", *others)
+    # Copies are one row before anything is joined; summed up before the shuffle, so a crowd of them is a row a task.
+    firsts = written(marked.groupBy("__fp").agg(F.min(row).alias("__row")), "first-rows")
+    joined = components(links(firsts.select(F.col("__fp").alias("fp")), distance, blocks, crowd)).withColumnsRenamed({"node": "__fp", "component": "__root"})
+    best = firsts.join(joined, "__fp").groupBy("__root").agg(F.min(F.struct("__row", "__fp")).alias("__best")).select(F.col("__best.__fp").alias("__fp"))
+    losers = joined.join(best, "__fp", "left_anti").select("__fp")
+    kept = firsts.join(losers, "__fp", "left_anti")
+    return (kept if nameless else kept.where(~F.col("__row.__none"))).select("__row.*").select(*docs.columns)

@@ -612,6 +612,16 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_rows_without_an_id_and_texts_under_one_id_stay(spark):
+    r = random.Random(9)
+    x, y, z, v = (" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(80)) for _ in range(4))
+    rows = [(3, x), (7, x), (7, y), (None, z), (None, z), (None, v), (4, v), (None, x)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    want = Counter([(3, x), (7, y), (4, v)])
+    assert Counter((d.doc_id, d.text) for d in simhash.keep_one(docs).collect()) == want
+    assert Counter((d.doc_id, d.text) for d in corpus_pipeline.deduplicate(spark, docs, "").collect()) == want + Counter([(None, z)])
+
+
 # The pipeline.
 
 
