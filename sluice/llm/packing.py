@@ -5,6 +5,9 @@ over the histogram of all lengths: with the lengths in order, the last bucket of
 k buckets starts nowhere before that of the first j - 1, so each layer is solved by divide and conquer. Inside a bucket
 sequences are batched so that boundary * batch size stays within the token budget.
 
+Lengths are in whatever unit n_tokens has. report() counts words between white space, not ids of a tokenizer, so its
+histogram, boundaries and budget are all in words.
+
 Scale. The histogram is a partial aggregation with one row a distinct length; only it comes to the driver (d distinct lengths
 take d * d / 2 tokens of input at least). A sequence's batch follows from its rank in its bucket: sequences are dealt to
 groups by a hash of doc_id, the groups' sizes are summed up in order, and a window ranks the sequences inside each group, so
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import written
 
 BUCKETS = 16
+#: In the unit of n_tokens: words in report().
 TOKEN_BUDGET = 65_536
 #: Sequences in a group that a window sorts, about.
 GROUP = 20_000
@@ -116,4 +120,5 @@ def pack(rows: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
 
 
 def report(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
+    """pack() of ``docs`` (doc_id, text) by words: n_tokens, boundary and ``token_budget`` are all numbers of words."""
     return pack(docs.select("doc_id", words(F.col("text")).alias("n_tokens")), buckets, token_budget)
