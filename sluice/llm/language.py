@@ -10,7 +10,8 @@ counts a phrase), so thousands of stretches of text are parsed abreast, one char
 stretches of ``STRETCH`` characters for that: all of a text is parsed, and a cut adds one phrase at most for each language.
 
 Learning takes ``sample_docs`` documents a language, the first by a hash of doc_id, and whole documents of those until
-``sample_chars`` characters; so the model's size doesn't depend on the input, and languages may be any number of values.
+``sample_chars`` characters; a stretch of the first drawn document that is longer than that fills what room is left. So the
+model's size doesn't depend on the input, and every labelled language with letters is learnt, whatever their number.
 """
 
 from __future__ import annotations
@@ -163,8 +164,8 @@ def predict(texts: list[str | None], model: Languages) -> tuple[list[str], list[
 
 
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Texts by language from ``labelled`` (doc_id, text, lang); rows without text or language don't count."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
+    """Texts by language from ``labelled`` (doc_id, text, lang); rows without a letter or language don't count."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
     # Only ids are ranked, and each task passes on a bounded number a language, however common the language is.
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     drawn = rows.select("doc_id", "lang", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs)
@@ -177,6 +178,19 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int
         if x.text and size.get(x.lang, 0) + len(x.text) <= sample_chars:
             samples[x.lang].append(x.text)
             size[x.lang] = size.get(x.lang, 0) + len(x.text)
+    # One stretch a language, so that no long texts pile up in the driver.
+    first: dict[str, tuple] = {}
+    for x in found:
+        if x.text is None and size.get(x.lang, 0) < sample_chars:
+            first[x.lang] = min(first.get(x.lang, (ids[x.doc_id], x.doc_id)), (ids[x.doc_id], x.doc_id))
+    if first:
+        long = rows.where(F.col("doc_id").isin([i for _, i in first.values()]) & (F.length("text") > sample_chars))
+        start = F.greatest(F.lit(1), F.regexp_instr(F.col("text"), F.lit(r"\p{L}")))
+        for x in sorted(long.select("doc_id", "lang", F.substring(F.col("text"), start, F.lit(sample_chars)).alias("text")).collect(), key=lambda x: x.text):
+            room = sample_chars - size.get(x.lang, 0)
+            if x.lang in first and first[x.lang][1] == x.doc_id and room > 0:
+                samples[x.lang].append(x.text[:room])
+                size[x.lang] = size.get(x.lang, 0) + len(x.text[:room])
     return {k: v for k, v in samples.items() if v}
 
 

@@ -278,6 +278,15 @@ def test_languages_of_odd_rows(spark, odd, none):
     assert language.keep_identified(odd).columns == odd.columns
 
 
+def test_a_language_of_long_documents_is_learnt(spark):
+    r = random.Random(3)
+    long = lambda letters: " ".join("".join(r.choices(letters, k=5)) for _ in range(20_000))
+    rows = [(i, long("abcde"), "xx", "s", 0) for i in range(4)] + [(10 + i, long("vwxyz")[:900], "yy", "s", 0) for i in range(6)]
+    samples = language.learn(spark.createDataFrame(rows, DOCS))
+    assert {k: sum(map(len, v)) for k, v in samples.items()} == {"xx": language.SAMPLE_CHARS, "yy": 5400}
+    assert {x.lang_pred for x in language.report(spark.createDataFrame(rows, DOCS)).where("doc_id < 10").collect()} == {"xx"}
+
+
 # 5 Chat.
 
 
