@@ -9,6 +9,9 @@ The automaton is turned into a table of transitions (a missing one leads to wher
 counts a phrase), so thousands of stretches of text are parsed abreast, one character a step, in numpy. Texts are cut into
 stretches of ``STRETCH`` characters for that: all of a text is parsed, and a cut adds one phrase at most for each language.
 
+Every language has codes of its own for all characters of its sample; one that the sample lacks is a phrase of its own there.
+Tables of more than ``ALPHABET`` codes would be too wide and are kept as sorted lists of the transitions that exist.
+
 Learning takes ``sample_docs`` documents a language, the first by a hash of doc_id, and whole documents of those until
 ``sample_chars`` characters; a stretch of the first drawn document that is longer than that fills what room is left. So the
 model's size doesn't depend on the input, and every labelled language with letters is learnt, whatever their number.
@@ -28,7 +31,7 @@ UNDECIDED = "und"
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 60_000
 STRETCH = 1024
-#: Characters of a language's alphabet, space included; the others share a code.
+#: Codes up to which a language's transitions are a table of all states and codes.
 ALPHABET = 96
 #: Characters parsed at a time; bounds the memory of a Python worker.
 BATCH_CHARS = 4_000_000
@@ -80,21 +83,45 @@ def transition_table(nexts: list[dict[int, int]], width: int) -> np.ndarray:
     return table.reshape(-1).astype(np.int32)
 
 
+class Sparse:
+    """The same transitions as sorted keys, for wide alphabets; states are numbers."""
+
+    def __init__(self, nexts: list[dict[int, int]], width: int):
+        found = sorted((state * width + c, t) for state, to in enumerate(nexts) for c, t in to.items())
+        self.width = width
+        self.keys = np.array([k for k, _ in found] + [-1], np.int64)[: max(1, len(found))]
+        self.to = np.array([t for _, t in found] + [0], np.int32)
+        self.start = np.full(width, len(nexts), np.int32)
+        for c, t in nexts[0].items():
+            self.start[c] = t
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after the codes ``c``, and where a phrase ended before them."""
+        key = state.astype(np.int64) * self.width + c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        return np.where(hit, self.to[at], self.start[c]), ~hit & (state != 0)
+
+
 class Languages:
     """``samples``: texts by language. Built from a few hundred KB in a Python worker."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
         texts = {k: normal(" ".join(samples[k])) for k in self.names}
-        chars, counts = np.unique(np.frombuffer("".join(texts.values()).encode("utf-32-le"), "<u4"), return_counts=True)
-        kept = chars[np.argsort(-counts, kind="stable")[: ALPHABET - 1]]
-        self.code = np.zeros(0x110000, np.uint8)
-        self.code[np.sort(kept)] = np.arange(1, len(kept) + 1)
-        self.width = len(kept) + 1
-        self.tables, self.rates = [], []
+        # Codes of the characters of all samples, and for each language its own by those; 0 is any other character.
+        chars = np.unique(np.frombuffer("".join(texts.values()).encode("utf-32-le"), "<u4"))
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[chars] = np.arange(1, len(chars) + 1)
+        self.own, self.tables, self.rates = [], [], []
         for k in self.names:
             codes = self.codes(texts[k])
-            self.tables.append(transition_table(suffix_automaton(codes.tolist()), self.width))
+            kept = np.unique(codes)
+            own = np.zeros(len(chars) + 1, np.int32)
+            own[kept] = np.arange(1, len(kept) + 1)
+            nexts = suffix_automaton(own[codes].tolist())
+            self.own.append(own)
+            self.tables.append((transition_table if len(kept) < ALPHABET else Sparse)(nexts, len(kept) + 1))
             self.rates.append(np.log2(max(2, len(codes))))
 
     def codes(self, text: str) -> np.ndarray:
@@ -113,16 +140,20 @@ class Languages:
         begin, length, owner = begin[by], length[by], owner[by]
         live = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")  # stretches longer than t
         counts = np.zeros((len(codes), len(self.names)), np.int64)
-        states = [np.zeros(len(owner), np.int32) for _ in self.names]
-        ended = [np.zeros(len(owner), np.int32) for _ in self.names]
-        for t, n in enumerate(live.tolist()):
-            c = joined[begin[:n] + t]
-            for table, state, count in zip(self.tables, states, ended, strict=True):
-                to = table[state[:n] + c]
-                out = to >> 31  # -1 where a phrase ended
-                count[:n] -= out
-                np.bitwise_xor(to, out, out=state[:n])
-        for k, count in enumerate(ended):
+        live = live.tolist()
+        for k, (own, table) in enumerate(zip(self.own, self.tables, strict=True)):
+            mapped = own[joined]
+            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
+            for t, n in enumerate(live):
+                c = mapped[begin[:n] + t]
+                if isinstance(table, Sparse):
+                    state[:n], out = table.step(state[:n], c)
+                    count[:n] += out
+                else:
+                    to = table[state[:n] + c]
+                    out = to >> 31  # -1 where a phrase ended
+                    count[:n] -= out
+                    np.bitwise_xor(to, out, out=state[:n])
             # The last phrase of a stretch ends with it.
             counts[:, k] = np.bincount(owner, weights=count + 1, minlength=len(codes))
         return counts

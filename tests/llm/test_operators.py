@@ -287,6 +287,17 @@ def test_a_language_of_long_documents_is_learnt(spark):
     assert {x.lang_pred for x in language.report(spark.createDataFrame(rows, DOCS)).where("doc_id < 10").collect()} == {"xx"}
 
 
+def test_languages_of_large_alphabets():
+    r = random.Random(4)
+    signs = {"a": [chr(0x4E00 + i) for i in range(400)], "b": [chr(0x4E00 + i) for i in range(200, 600)], "c": list("abcd ")}
+    samples = {k: ["".join(r.choices(v, k=1500))] for k, v in signs.items()}
+    model = language.Languages(samples)
+    z = ["".join(r.choices(signs[k], k=n)) for k, n in zip("abcabc", (900, 700, 300, 40, 1, 500), strict=True)] + ["qq"]
+    z = [language.normal(x) for x in z]
+    for x, counts in zip(z, model.phrases([model.codes(x) for x in z]), strict=True):
+        assert [phrases(x, language.normal(" ".join(samples[k]))) for k in model.names] == counts.tolist()
+
+
 # 5 Chat.
 
 
