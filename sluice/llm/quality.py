@@ -1,13 +1,13 @@
 """Quality rules: basic counts, and the divergence of a text from its language's own distributions.
 
 Each language has two reference histograms: shares of character classes, and shares of its common words (all other words
-share one bin). The words are candidates from a bounded sample of documents; both histograms are counted over all documents.
+share one bin). Words and both histograms are counted over all documents.
 A text's Jensen-Shannon distances (base 2, from 0 to 1) to its language's references must stay within limits that allow for
 the chance spread of short texts; texts with fewer words or characters than the guards ask for are too short to judge and
 pass.
 
 All of it is DataFrame expressions over one row at a time; only the learning of the references aggregates, with partial sums
-and one row a language and bin. The references are literals of the plan: at most LANGUAGES of them, and one for the rest.
+and one row a language and bin. The references are a table with one row a language, which is broadcast to the texts.
 """
 
 from __future__ import annotations
@@ -15,15 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.llm.common import written
+
 WORDS = r"[^\x20\x09-\x0D]+"
 SPACE, SYMBOL = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
 #: Character classes by pattern, after white space; letters that aren't upper case and characters of no class are two more.
 CLASSES = (SYMBOL, r"\p{Nd}", r"[.,;:!?'\"()-]", r"\p{Lu}")
-#: Common words a language, and the languages with a reference of their own: the ones with most documents.
+#: Common words a language.
 COMMON = 40
-LANGUAGES = 64
-#: Documents a language in which candidates for its common words are sought, the first by a hash of doc_id.
-SAMPLE_DOCS = 200
 #: Guards: shorter texts aren't judged by words, or by characters.
 LEAST_WORDS = 100
 LEAST_CHARS = 200
@@ -100,46 +99,33 @@ def class_counts(text: Column, words: Column, letters: Column) -> Column:
     return F.transform(F.array(counts), lambda x: F.concat(x, F.array(lower(x), other(x))))[0]
 
 
-def references(docs: DataFrame) -> dict[str, dict]:
-    """For each language (the empty string: all texts together): the common words, and both histograms as shares.
+def references(docs: DataFrame) -> DataFrame:
+    """(lang, words, word_shares, class_shares) for each language (the empty string: all texts together): the common words,
+    most frequent first, and both histograms as shares.
 
-    ``docs``: doc_id, text, lang. Rows without text count nothing; rows without a language count for all only.
+    ``docs``: text, lang. Rows without text count nothing; rows without a language count for all only.
     """
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    most = rows.where("lang IS NOT NULL AND lang <> ''").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    names = sorted(x.lang for x in most.collect())
-    group = F.when(F.col("lang").isin(names), F.col("lang")).otherwise("") if names else F.lit("")
-    # Only ids are ranked, and each task passes on a bounded number a language.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = rows.select("doc_id", group.alias("lang")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
-    ids = [x.doc_id for x in drawn.select("doc_id").distinct().collect()]
-    sample = rows.where(F.col("doc_id").isin(ids)) if ids else rows.limit(0)
-    seen = sample.select(group.alias("lang"), F.explode(letters_of(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
-    found = seen.withColumn("k", F.row_number().over(first)).where(F.col("k") <= 2 * COMMON).select("w").distinct()
-    candidates = sorted(x.w for x in found.collect())
-    counts = rows.select(group.alias("lang"), "text", words_of(F.col("text")).alias("all"), letters_of(F.col("text")).alias("w"))
+    rows = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))
+    counts = rows.select("lang", "text", words_of(F.col("text")).alias("all"), letters_of(F.col("text")).alias("w"))
     counts = counts.select("lang", "w", class_counts(F.col("text"), F.col("all"), F.col("w")).alias("c"))
-    common = F.filter("w", lambda w: w.isin(candidates)) if candidates else F.array().cast("array<string>")
-    counts = counts.select("lang", "c", F.size("w").cast("long").alias("n"), common.alias("w"))
-    # One pass for both: a text gives a row for each class, one for its number of words, and one for each common word.
-    classes = F.transform("c", lambda v, i: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("bin"), v.alias("n")))
-    words = F.transform("w", lambda w: F.struct(F.concat(F.lit("w"), w).alias("bin"), F.lit(1).cast("long").alias("n")))
-    bins = F.concat(classes, F.array(F.struct(F.lit("n").alias("bin"), F.col("n"))), words)
-    summed = counts.select("lang", F.inline(bins)).groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
-    by: dict[str, dict[str, int]] = {"": {}}
-    for x in summed:
-        for lang in {x.lang, ""}:
-            own = by.setdefault(lang, {})
-            own[x.bin] = own.get(x.bin, 0) + x.n
-    out = {}
-    for lang, n in by.items():
-        chars = [n.get(f"c{i}", 0) for i in range(len(CLASSES) + 3)]
-        words = sorted(((k[1:], v) for k, v in n.items() if k[0] == "w"), key=lambda x: (-x[1], x[0]))[:COMMON]
-        total = n.get("n", 0)
-        shares = [v / total for _, v in words]
-        out[lang] = {"words": [w for w, _ in words], "word_shares": [1 - sum(shares), *shares], "class_shares": [c / max(1, sum(chars)) for c in chars]}
-    return out
+    # One pass for both: a text gives a row for each class and one for each word, which has class -1.
+    classes = F.transform("c", lambda v, i: F.struct(i.cast("int").alias("class"), F.lit("").alias("word"), v.alias("n")))
+    words = F.transform("w", lambda w: F.struct(F.lit(-1).alias("class"), w.alias("word"), F.lit(1).cast("long").alias("n")))
+    bins = counts.select("lang", F.inline(F.concat(classes, words))).groupBy("lang", "class", "word").agg(F.sum("n").alias("n"))
+    bins = written(bins, "bins")
+    every = bins.groupBy("class", "word").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "class", "word", "n")
+    bins = bins.where("lang <> ''").unionByName(every)
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = bins.where("class < 0").withColumn("k", F.row_number().over(first)).where(F.col("k") <= COMMON)
+    top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "word", "n"))).alias("top"))
+    sums = [F.sum(F.when(F.col("class") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(-1, len(CLASSES) + 3)]
+    totals = bins.groupBy("lang").agg(*sums)
+    chars = [F.col(f"c{i}") for i in range(len(CLASSES) + 3)]
+    size = F.greatest(F.lit(1), sum(chars[1:], chars[0]))
+    shares = F.coalesce(F.transform("top", lambda x: x["n"] / F.col("c-1")), F.array().cast("array<double>"))
+    found = totals.join(top, "lang", "left").select("lang", F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("words"), shares.alias("shares"), F.array(*[c / size for c in chars]).alias("class_shares"))
+    rest = F.lit(1.0) - F.aggregate("shares", F.lit(0.0), lambda s, x: s + x)
+    return written(found.select("lang", "words", F.concat(F.array(rest), "shares").alias("word_shares"), "class_shares"), "references")
 
 
 def divergence(counts: Column, shares: Column) -> Column:
@@ -164,25 +150,24 @@ def runs(codes: Column) -> Column:
     return F.when(n > 0, F.get(found, F.lit(0))).otherwise(F.array().cast("array<struct<bin:int,n:double>>"))
 
 
-def judged(docs: DataFrame, known: dict[str, dict]) -> DataFrame:
+def judged(docs: DataFrame, known: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang) with the columns of base(), class_distance, word_distance and kept.
 
     Null and empty texts have no words and fail. A language without a reference, or none, is held to that of all texts.
     """
-    names = sorted(known)
-    own = F.array(*[F.lit(n) for n in names])
-    place = F.when(F.col("lang").isin(names), F.array_position(own, F.col("lang").cast("string"))).otherwise(names.index("") + 1).cast("int")
-    strings = F.array(*[F.split(F.lit(" ".join(known[n]["words"])), " ") for n in names])
-    numbers = lambda key: F.array(*[F.split(F.lit(",".join(map(repr, known[n][key]))), ",").cast("array<double>") for n in names])
-    docs = base(docs).withColumn("__at", place)
-    docs = docs.withColumn("__common", F.element_at(strings, F.col("__at")))
+    keys = ("words", "word_shares", "class_shares")
+    every = known.where("lang = ''").first() or {"words": [], "word_shares": [1.0], "class_shares": [0.0] * (len(CLASSES) + 3)}
+    other = {k: F.array(*map(F.lit, every[k])).cast("array<string>" if k == "words" else "array<double>") for k in keys}
     # Most words are longer than any common one and need no look-up.
-    longest = max((len(w.encode()) for n in names for w in known[n]["words"]), default=0)
-    codes = F.sort_array(F.transform("__letters", lambda w: F.when(F.octet_length(w) > longest, F.lit(0).cast("long")).otherwise(F.array_position("__common", w))))
+    longest = known.select(F.max(F.array_max(F.transform("words", F.octet_length)))).first()[0] or 0
+    own = known.where("lang <> ''").select(F.col("lang").alias("__lang"), *[F.col(k).alias(f"__own_{k}") for k in keys])
+    docs = docs.join(F.broadcast(own), F.col("lang").cast("string") == F.col("__lang"), "left")
+    docs = base(docs.withColumns({"__words_known" if k == "words" else f"__{k}": F.coalesce(F.col(f"__own_{k}"), other[k]) for k in keys}))
+    codes = F.sort_array(F.transform("__letters", lambda w: F.when(F.octet_length(w) > longest, F.lit(0).cast("long")).otherwise(F.array_position("__words_known", w))))
     docs = docs.withColumn("__codes", codes)
     classes = F.filter(F.transform("__classes", lambda v, i: F.struct(i.alias("bin"), v.cast("double").alias("n"))), lambda x: x["n"] > 0)
-    docs = docs.withColumn("word_distance", divergence(runs(F.col("__codes")), F.element_at(numbers("word_shares"), F.col("__at"))))
-    docs = docs.withColumn("class_distance", divergence(classes, F.element_at(numbers("class_shares"), F.col("__at"))))
+    docs = docs.withColumn("word_distance", divergence(runs(F.col("__codes")), F.col("__word_shares")))
+    docs = docs.withColumn("class_distance", divergence(classes, F.col("__class_shares")))
     chars, words = F.length("text"), F.size("__letters")
     far = (chars >= LEAST_CHARS) & (F.col("class_distance") > CLASS_LIMIT + CLASS_SPREAD / F.sqrt(chars))
     odd = (words >= LEAST_WORDS) & (F.col("word_distance") > WORD_LIMIT + WORD_SPREAD / F.sqrt(words))

@@ -167,6 +167,15 @@ def test_strange_text_diverges(spark):
     assert not found[100] and found[101] and all(found[i] for i in range(30))
 
 
+def test_every_language_and_word_has_its_reference(spark):
+    rows = [(i, "common words of all", f"l{i % 70:02}", "s", 0) for i in range(140)] + [(900, "rare speech here", "zz", "s", 0)]
+    rows += [(1000 + i, "little", "big", "s", 0) for i in range(300)] + [(5000 + i, "heavy " * 900, "big", "s", 0) for i in range(2)]
+    found = {x.lang: x for x in quality.references(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(found) == 73 and set(found["zz"].words) == {"rare", "speech", "here"} and found["big"].words == ["heavy", "little"]
+    assert found["big"].word_shares == pytest.approx([0, 1800 / 2100, 300 / 2100]) and found[""].words[:2] == ["heavy", "little"]
+    assert all(sum(x.class_shares) == pytest.approx(1) for x in found.values())
+
+
 # 3 Secrets.
 
 PATTERNS = (
