@@ -412,6 +412,10 @@ def test_held_out_toxicity(spark, data):
     assert np.mean(hits) >= 0.8 and np.mean([p for y, _, p in held if y == 0]) <= 0.01
 
 
+def test_no_label_within_the_bound_is_left_out():
+    assert toxicity.PER_CLASS >= 2_800  # learnable labels of a class in sf0.1
+
+
 def test_counterfactuals_shrink_what_a_group_does_to_a_score():
     r = random.Random(8)
     words = "one two three four five six seven eight nine ten".split()
