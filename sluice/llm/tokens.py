@@ -18,26 +18,30 @@ it, from a manifest with one row a shard.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import scratch, written
+from sluice.llm.common import held, release, scratch, slices, written
 
 MAGIC = 0x314B50414B4F54  # "TOKPAK1"
 BLOCK = 4096
 #: Ids after which a task starts a new shard file.
 SHARD_IDS = 8_000_000
-#: Chunks of text whose ids a Python worker remembers.
-MEMORY = 800_000
+#: Words whose ids a Python worker remembers.
+MEMORY = 400_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -121,83 +125,117 @@ class Shard:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-#: White space that parts a text for sure, whatever else the tokenizer takes for white space.
-_SPLIT = re.compile(r"[ \n\r\t]+")
-_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-_TAIL = re.compile(r"([^<>']*\w)([!-&(-/:;?@\[-`{-~]+)", re.S)
+#: The steps of a tokenizer before its model under which a text may be cut at white space: nothing is composed over white
+#: space, and the pattern drops it.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A run of letters and the ASCII punctuation behind it. Without apostrophes and angle brackets, so that neither a short form
+#: nor a special token is in it, the pattern above cuts between the two and nowhere else.
+_WORD = re.compile(r"([^\W\d_]+)([!-&(-/:;?@\[-`{-~]*)")
+_OTHER = "\x00"
+
+
+def cuts_at_white_space(tokenizer) -> bool:
+    """Whether the ids of a text are those of its chunks between white space, one after the other."""
+    steps = json.loads(tokenizer.to_str())
+    before, model = steps["pre_tokenizer"] or {}, steps["model"]
+    cut, byte_level = [*before.get("pretokenizers", []), {}, {}][:2]
+    return (
+        steps["normalizer"] == _NORMALIZER and len(before.get("pretokenizers", [])) == 2
+        and (cut.get("type"), cut.get("pattern"), cut.get("behavior"), cut.get("invert")) == ("Split", {"Regex": _PATTERN}, "Removed", True)
+        and (byte_level.get("type"), byte_level.get("add_prefix_space"), byte_level.get("use_regex")) == ("ByteLevel", False, False)
+        and model["type"] == "BPE" and not model.get("dropout")
+        and all(t["content"].startswith("<") and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in steps["added_tokens"])
+    )
+
+
+class Letters(dict):
+    """For str.translate: what the tokenizer's steps before its model make of a character that stays one run of letters with
+    any letter beside it, and _OTHER for every other character. The steps themselves are asked, once a character."""
+
+    def __init__(self, tokenizer):
+        self.lower, self.cut = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, code: int) -> str:
+        c, found = chr(code), _OTHER
+        if c.isalpha() and unicodedata.is_normalized("NFC", c):
+            low = self.lower(c)
+            runs = [self.cut(x) for x in (low, low + "a", "a" + low)]
+            if all(len(x) == 1 for x in runs):
+                found = runs[0][0][0]
+        self[code] = found
+        return found
 
 
 class Encoder:
-    """Ids of whole texts. The tokenizer never joins characters over white space, so each chunk between white space is
-    encoded once and remembered; punctuation behind a word is a token sequence of its own and remembered apart."""
+    """Ids of whole texts.
+
+    Where the tokenizer cuts at white space, each chunk between ASCII white space is encoded by itself. A chunk of letters
+    that are already composed, with or without punctuation behind, is one word to the tokenizer's model, which is asked for
+    its ids directly; any other chunk goes through the library whole. What a slice of text repeats is looked up once, and the
+    ids of words are remembered.
+    """
 
     def __init__(self, path: str, chunked: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.chunked = chunked
-        self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.ends_word = None
-        if suffix:
-            self.ends_word = np.zeros(self.vocabulary, bool)
-            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.chunked = chunked and cuts_at_white_space(self.tokenizer)
+        self.letters = Letters(self.tokenizer) if self.chunked else None
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words of letters only. Many are encoded as one text and told apart by the tokens that end a word."""
-        lines = [words[i : i + 64] for i in range(0, len(words), 64)]
-        for line, found in zip(lines, self._encode([" ".join(x) for x in lines]), strict=True):
-            ends = np.flatnonzero(self.ends_word[np.frombuffer(found, "<u4")])
-            if len(ends) == len(line):
-                at = (4 * (ends + 1)).tolist()
-                yield from map(found.__getitem__, map(slice, [0, *at], at))
-            else:  # a word that isn't one token sequence to the tokenizer
-                yield from self._encode(line)
-
-    def _learn(self, chunks: set[str]) -> None:
-        cut, new = {}, set()
-        for c in chunks:
-            m = _TAIL.fullmatch(c)
-            head, tail = m.groups() if m and m[1][-1] != "_" else (c, "")
-            if head.isascii() and "<" not in head:
-                head = head.lower()  # as the tokenizer's normalizer does
-            if head != c:
-                cut[c] = (head, tail)
-            new.update((head, tail))
-        new = new.difference(self.known)
-        words = [x for x in new if x.isalpha()] if self.ends_word is not None else []
-        self.known.update(zip(words, self._encode_words(words), strict=True))
-        rest = list(new.difference(words))
-        self.known.update(zip(rest, self._encode(rest), strict=True))
-        for c, (head, tail) in cut.items():
-            self.known[c] = self.known[head] + self.known[tail]
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        for known in (self.words, self.others):
+            if len(known) > MEMORY:
+                known.clear()
+        words, others, letters, tokenize = self.words, self.others, self.letters, self.tokenizer.model.tokenize
+        cut, composed = _WORD.fullmatch, unicodedata.is_normalized
+        out, rest = [], []
+        for i, chunk in enumerate(chunks):
+            m = cut(chunk)
+            if m:
+                head, tail = m.groups()
+                word = head.translate(letters)
+                if _OTHER not in word and (head.isascii() or composed("NFC", head)):
+                    ids = words.get(word)
+                    if ids is None:
+                        ids = words[word] = array("I", [t.id for t in tokenize(word)]).tobytes()
+                    if tail:
+                        end = others.get(tail)
+                        if end is None:
+                            end = others[tail] = self._encode([tail])[0]
+                        ids += end
+                    out.append(ids)
+                    continue
+            ids = others.get(chunk)
+            if ids is None:
+                rest.append(i)
+            out.append(ids)
+        for i, ids in zip(rest, self._encode([chunks[i] for i in rest]), strict=True):
+            out[i] = others[chunks[i]] = ids
+        return out
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         if not self.chunked:
-            return [np.frombuffer(x, "<u4") for x in self._encode([t or "" for t in texts])]
-        chunks = [(_SPLIT.split(t) if _ODD_SPACE.search(t) else t.split()) if t else [] for t in texts]
-        every = set().union(*chunks)
-        if missing := every.difference(self.known):
-            if len(self.known) > MEMORY:
-                self.known.clear()
-                missing = every
-            self._learn(missing)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), "<u4") for x in chunks]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One a Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+            return [np.frombuffer(x, np.uint32) for x in self._encode([t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)])]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = chunks.flatten().dictionary_encode()
+        found = self._chunks(coded.dictionary.to_pylist())
+        ids, sizes = np.frombuffer(b"".join(found), np.uint32), np.array([len(x) for x in found], np.int64) // 4
+        which = coded.indices.to_numpy()
+        sizes, starts = sizes[which], (np.cumsum(sizes) - sizes)[which]
+        ends = np.cumsum(sizes)
+        joined = ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        at = chunks.offsets.to_numpy()
+        return np.split(joined, np.concatenate(([0], ends))[at[1:-1] - at[0]])
 
 
 MANIFEST = T.StructType([T.StructField("task", T.LongType()), T.StructField("part", T.LongType()), T.StructField("file", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
@@ -209,7 +247,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, shard_ids: int, block: int
 
         task = TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
-        encode = encoder(tokenizer)
+        encode = held(("encoder", tokenizer), lambda: Encoder(tokenizer))
         names, ids, size, part = [], [], 0, 0
 
         def flush():
@@ -223,15 +261,13 @@ def _writer(folder: str, tokenizer: str, end_id: int, shard_ids: int, block: int
             names, ids, size, part = [], [], 0, part + 1
             return row
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256)
-                for name, found in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist()), strict=True):
-                    names.append(name)
-                    ids.append(np.append(found, np.uint32(end_id)))
-                    size += len(ids[-1])
-                    if size >= shard_ids:
-                        yield flush()
+        for rows in slices(batches, 1):
+            for name, found in zip(rows.column(0).to_pylist(), encode(rows.column(1)), strict=True):
+                names.append(name)
+                ids.append(np.append(found, np.uint32(end_id)))
+                size += len(ids[-1])
+                if size >= shard_ids:
+                    yield flush()
         if names:
             yield flush()
 
@@ -257,6 +293,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """(file, doc_id, start, ids) of every document in the shard files; start counts the ids of its own shard before it."""
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(content.as_py())
@@ -280,6 +317,7 @@ def digests(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; start counts over all documents."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(content.as_py())
