@@ -4,21 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of text that a Python worker takes up at a time; a longer text is a slice of its own.
+SLICE_BYTES = 2 << 20
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one of this machine where none is set."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where none is set, a temporary one serves a local
+    master; on a cluster that would be a folder that other machines don't see, so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark not in _local:
+        _local[spark] = "file://" + tempfile.mkdtemp(prefix="sluice-")
+    return _local[spark]
+
+
+_local: dict[SparkSession, str] = {}
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -37,3 +53,46 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``size`` bytes of the text column, so that a worker's memory doesn't follow Spark's batches."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths.astype(np.int64)) // size
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, build: Callable[[], Any]) -> Any:
+    """One model a Python worker, kept from task to task under a key of its own. What another key held is let go first, so
+    the models of two stages are never in a reused worker together."""
+    if key not in _held:
+        release()
+        _held[key] = build()
+    return _held[key]
+
+
+def release() -> None:
+    """Lets go of the model that this Python worker holds."""
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()

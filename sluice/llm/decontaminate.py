@@ -3,30 +3,40 @@
 A shard is a stretch of rows of one partition. Its words become symbols of the benchmark's vocabulary; a word that no
 benchmark item has ends a run of text, as does the end of a document, and runs shorter than the shortest window can't hold
 one and are left out. The index of the runs is searched backwards for all windows at once, occurrences are located by
-sampled suffix positions, and overlapping ones are merged into spans.
+sampled suffix positions, and overlapping ones are merged into spans. An index is built faster than it could be read back, so
+none is kept.
 
 There is no shuffle: each row is answered where it lies. The windows are broadcast in parts of at most ``part_bytes`` of
-benchmark text, each part in a pass of its own, so what is broadcast doesn't grow with the benchmark.
+benchmark text, and a Python worker holds one part at a time: each shard is searched for one part after the other, so neither
+what a worker holds nor what the driver builds at once grows with the benchmark.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sluice.llm.common import held, slices
 from sluice.llm.fmindex import FMIndex
 
 WINDOW = 10
-#: Bytes of benchmark text whose windows are broadcast at once.
-PART_BYTES = 16 << 20
-#: Words of a shard; a longer document is a shard of its own.
-SHARD_WORDS = 2_000_000
+#: Bytes of benchmark text whose windows are broadcast at once; as symbols and places they take about three times that, and
+#: their distinct words about 100 bytes each.
+PART_BYTES = 4 << 20
+#: Bytes of text of a shard; a longer document is a shard of its own.
+SHARD_BYTES = 6 << 20
+#: Windows that are searched for abreast.
+_ABREAST = 1 << 16
 #: a-z, 0-9 and all beyond ASCII stay, A-Z are lower-cased, the rest parts words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -37,18 +47,43 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """Distinct windows of benchmark items, as symbols, by length, with the items that have each."""
+    """Distinct windows of benchmark items, by length: where each lies in ``text`` (the items' words as symbols), and the
+    items that have it. Rows of one item are one item with all their windows."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.symbol: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.names)}
+        texts, found, end = [np.empty(0, np.int32)], {}, 0
         for item, text in items:
-            ids = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.lengths = sorted({len(x) for x in found})
-        self.patterns = {m: np.array([x for x in found if len(x) == m], np.int32) for m in self.lengths}
-        self.items = {m: [tuple(found[x]) for x in found if len(x) == m] for m in self.lengths}
+            words = words_of(text)
+            if not words:
+                continue
+            texts.append(np.fromiter((self.symbol.setdefault(w, len(self.symbol) + 1) for w in words), np.int32, len(words)))
+            m = min(window, len(words))
+            starts = np.arange(end, end + len(words) - m + 1)
+            found.setdefault(m, []).append((starts, np.full(len(starts), number[item])))
+            end += len(words)
+        self.text = np.concatenate(texts)
+        self.lengths = sorted(found)
+        self.starts, self.cuts, self.owners = {}, {}, {}
+        for m in self.lengths:
+            starts, owner = (np.concatenate(x) for x in zip(*found[m], strict=True))
+            rows = np.lib.stride_tricks.sliding_window_view(self.text, m)[starts]
+            _, first, which = np.unique(rows.view([("", np.int32)] * m).reshape(-1), return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack((which.reshape(-1), owner), axis=1), axis=0)
+            self.starts[m] = starts[first]
+            self.cuts[m] = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+            self.owners[m] = pairs[:, 1].astype(np.int32)
+
+    def patterns(self, m: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The windows of m words, some at a time: (number of the first, rows of symbols)."""
+        view = np.lib.stride_tricks.sliding_window_view(self.text, m)
+        for i in range(0, len(self.starts[m]), _ABREAST):
+            yield i, view[self.starts[m][i : i + _ABREAST]]
+
+    def items(self, m: int, which: int) -> Iterator[str]:
+        return map(self.names.__getitem__, self.owners[m][self.cuts[m][which] : self.cuts[m][which + 1]].tolist())
 
 
 def occurrences(texts: list[np.ndarray], windows: Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -69,10 +104,10 @@ def occurrences(texts: list[np.ndarray], windows: Windows) -> Iterator[tuple[int
     symbols = len(windows.symbol) + 1
     index = FMIndex(joined[places].astype(np.uint16 if symbols < 1 << 16 else np.int32), symbols)
     for m in windows.lengths:
-        low, high = index.search(windows.patterns[m])
-        which, at = index.locate(low, high)
-        # ``joined`` has one place more for each text before.
-        yield m, which, places[at]
+        for first, patterns in windows.patterns(m):
+            which, at = index.locate(*index.search(patterns))
+            # ``joined`` has one place more for each text before.
+            yield m, which + first, places[at]
 
 
 def scan(texts: list[str | None], windows: Windows) -> list[tuple[int, np.ndarray, set[str]]]:
@@ -90,67 +125,76 @@ def scan(texts: list[str | None], windows: Windows) -> list[tuple[int, np.ndarra
         np.add.at(change, at, 1)
         np.add.at(change, at + m, -1)
         owner = np.searchsorted(starts, at, side="right") - 1
-        for pair in np.unique(owner * len(windows.items[m]) + which).tolist():
-            items[pair // len(windows.items[m])].update(windows.items[m][pair % len(windows.items[m])])
+        size = len(windows.starts[m])
+        for pair in np.unique(owner * size + which).tolist():
+            items[pair // size].update(windows.items(m, pair % size))
     hit = np.cumsum(change) > 0
     return [(len(x), hit[s : s + len(x)], found) for x, s, found in zip(coded, starts.tolist(), items, strict=True)]
 
 
-def _shards(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Stretches of rows of about SHARD_WORDS words (six bytes a word)."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        own = len(t or "") // 6
-        if i > start and size + own > SHARD_WORDS:
-            yield start, i
-            start, size = i, 0
-        size += own
-    if start < len(texts):
-        yield start, len(texts)
+def edges(hit: np.ndarray) -> list[tuple[int, int]]:
+    """The stretches of words that are hit, as (start, stop)."""
+    at = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist()
+    return list(zip(at[::2], at[1::2], strict=True))
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+class Search:
+    """Windows in parts, sent to the Python workers; called there with texts, it gives what scan() gives for all parts."""
 
+    def __init__(self, parts: list[Broadcast]):
+        self.parts, self.key = parts, uuid.uuid4().hex
+
+    def _part(self, k: int) -> Windows:
+        def load() -> Windows:
+            windows = self.parts[k].value
+            vars(self.parts[k]).pop("_value", None)  # else a worker keeps what it has read of a broadcast
+            return windows
+
+        return held((self.key, k), load)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[int, np.ndarray, set[str]]]:
+        found = scan(texts, self._part(0))
+        for k in range(1, len(self.parts)):
+            found = [(n, hit | more, items | others) for (n, hit, items), (_, more, others) in zip(found, scan(texts, self._part(k)), strict=True)]
+        return found
 
-def _searcher(windows):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The columns __words, __spans and __items are filled, or added to by a later pass."""
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            old_spans, old_items = batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
-            words, spans, items = [], [], []
-            for start, stop in _shards(texts):
-                for i, (n, hit, found) in enumerate(scan(texts[start:stop], windows.value), start):
-                    words.append(n)
-                    items.append(sorted(found.union(old_items[i] or ())))
-                    for x in old_spans[i] or ():
-                        hit[x["start"] : x["stop"]] = True
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist()
-                    spans.append([{"start": a, "stop": b} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-            new = {"__words": pa.array(words, pa.int64()), "__spans": pa.array(spans, _SPANS), "__items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.record_batch([new.get(name, batch.column(i)) for i, name in enumerate(batch.schema.names)], names=batch.schema.names)
-
-    return search
+
+def search(benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> Search:
+    """The windows of ``benchmark``, read and broadcast a part at a time."""
+    spark = benchmark.sparkSession
+    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string"), F.col("text").cast("string"))
+    parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
+    sent = []
+    for part in range(parts):
+        rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        sent.append(spark.sparkContext.broadcast(Windows([tuple(x) for x in rows.collect()], window)))
+    return Search(sent)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` (with a column text) and the columns __words (words of the text), __spans (merged stretches of hit words:
-    start, stop) and __items (ids of the items found, as sorted strings).
+    start, stop) and __items (ids of the items found, as sorted strings), in place of any of those names.
 
     ``benchmark``: item_id, text; other columns are ignored. Null texts have no words; items without words have no window;
     rows of one item_id are one item with all their windows; items with a null id are left out. An item of fewer than
     ``window`` words is one window. No benchmark leaves every document clean.
     """
-    spark = docs.sparkSession
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
-    found = docs.withColumns({"__words": F.lit(0).cast("long"), "__spans": F.lit(None).cast("array<struct<start:long,stop:long>>"), "__items": F.lit(None).cast("array<string>")})
-    for part in range(parts):
-        rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        windows = spark.sparkContext.broadcast(Windows([tuple(x) for x in rows.collect()], window))
-        found = found.mapInArrow(_searcher(windows), found.schema)
-    return found
+    searched = search(benchmark, window, part_bytes)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SHARD_BYTES):
+            rows = searched(batch.column("text").to_pylist())
+            spans = [[{"start": a, "stop": b} for a, b in edges(hit)] for _, hit, _ in rows]
+            new = [pa.array([n for n, _, _ in rows], pa.int64()), pa.array(spans, _SPANS), pa.array([sorted(x) for *_, x in rows], pa.list_(pa.string()))]
+            yield pa.record_batch([*batch.columns, *new], names=[*batch.schema.names, "__words", "__spans", "__items"])
+
+    docs = docs.drop("__words", "__spans", "__items")
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+    fields = [T.StructField("__words", T.LongType()), T.StructField("__spans", T.ArrayType(span)), T.StructField("__items", T.ArrayType(T.StringType()))]
+    return docs.mapInArrow(found, T.StructType([*docs.schema.fields, *fields]))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -163,31 +207,40 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
-def cut(text: str, spans: list[dict]) -> str:
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the stretches of words in ``spans``, and without what lies between the words of one stretch."""
     at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     out, last = [], 0
-    for s in spans:
-        out.append(text[last : at[s["start"]][0]])
-        last = at[s["stop"] - 1][1]
+    for start, stop in spans:
+        out.append(text[last : at[start][0]])
+        last = at[stop - 1][1]
     return "".join([*out, text[last:]])
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the found passages cut out of text and n_chars counted anew; documents of which no word is left go.
-    Documents without a hit are unchanged."""
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``docs`` (text, a string; other columns of any name) with the found passages cut out of text and n_chars, if there is
+    one, counted anew; documents of which no word is left go. Documents without a hit are unchanged."""
+    searched = search(benchmark, window, part_bytes)
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [cut(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
-            at = batch.schema.names.index("text")
-            yield batch.set_column(at, "text", pa.array(texts, batch.schema.types[at]))
-
-    found = find(docs, benchmark, window)
-    left = F.col("__words") > F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
-    edited = found.where((F.size("__spans") == 0) | left).mapInArrow(edit, found.schema)
-    if "n_chars" in docs.columns:
-        count = F.when(F.size("__spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        edited = edited.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
-    return edited.select(*docs.columns)
-
+        for batch in slices(batches, "text", SHARD_BYTES):
+            texts = batch.column("text").to_pylist()
+            changed, gone = {}, []
+            for i, (n, hit, _) in enumerate(searched(texts)):
+                count = int(hit.sum())
+                if count == n and n:
+                    gone.append(i)
+                elif count:
+                    changed[i] = cut(texts[i], edges(hit))
+            if changed:
+                rows = pa.array(list(changed), pa.int64())
+                mask = pc.is_in(pa.array(np.arange(len(texts))), rows)
+                for name, new in (("text", list(changed.values())), ("n_chars", [len(x) for x in changed.values()])):
+                    if name in batch.schema.names:
+                        at = batch.schema.names.index(name)
+                        kind = batch.schema.types[at]
+                        values = pa.array([str(x) for x in new] if pa.types.is_string(kind) else new, kind)
+                        batch = batch.set_column(at, batch.schema.field(at), pc.replace_with_mask(batch.column(at), mask, values))
+            yield batch.filter(pa.array(~np.isin(np.arange(len(texts)), gone))) if gone else batch
+
+    return docs.mapInArrow(edit, docs.schema)

@@ -7,34 +7,43 @@ phrases * log2(sample length) / characters, and the language that needs the fewe
 
 The automaton is turned into a table of transitions (a missing one leads to where the character leads from the start, and
 counts a phrase), so thousands of stretches of text are parsed abreast, one character a step, in numpy. Texts are cut into
-stretches of ``STRETCH`` characters for that: all of a text is parsed, and a cut adds one phrase at most for each language.
+stretches of ``STRETCH`` characters for that. A stretch is parsed as if a phrase began with it; then the state in which the
+stretch before really ends is carried into it, until both parses are in one state, which they soon are, and the difference
+of their counts corrects the first one. So the count is that of the whole text parsed in one go.
 
 Every language has codes of its own for all characters of its sample; one that the sample lacks is a phrase of its own there.
-Tables of more than ``ALPHABET`` codes would be too wide and are kept as sorted lists of the transitions that exist.
+Tables of more than ``ALPHABET`` codes would be too wide and are kept as sorted lists of the transitions that exist, and so
+are all tables where the samples together have more than ``DENSE_CHARS`` characters.
 
 Learning takes ``sample_docs`` documents a language, the first by a hash of doc_id, and whole documents of those until
-``sample_chars`` characters; a stretch of the first drawn document that is longer than that fills what room is left. So the
-model's size doesn't depend on the input, and every labelled language with letters is learnt, whatever their number.
+``sample_chars`` characters; a stretch of the first drawn document that is longer than that fills what room is left. With many
+languages each gets an equal share of ``TOTAL_CHARS``, ``LEAST_CHARS`` at the least. So the model's size doesn't depend on the
+input, and every labelled language with letters is learnt, whatever their number.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sluice.llm.common import held, slices, unused
 
 UNDECIDED = "und"
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 60_000
+#: Characters of all languages' samples together, and of a language where there are so many that its share is less.
+TOTAL_CHARS = 1_500_000
+LEAST_CHARS = 2_000
 STRETCH = 1024
-#: Codes up to which a language's transitions are a table of all states and codes.
+#: Codes up to which a language's transitions are a table of all states and codes, and characters of all samples up to which.
 ALPHABET = 96
-#: Characters parsed at a time; bounds the memory of a Python worker.
-BATCH_CHARS = 4_000_000
+DENSE_CHARS = 400_000
 #: Sharpness of the score: how much a difference of one bit a character counts.
 SHARPNESS = 6.0
 
@@ -73,14 +82,18 @@ def transition_table(nexts: list[dict[int, int]], width: int) -> np.ndarray:
     """Row offsets by state and code; complemented where a phrase ends before the code. A code that the sample lacks leads
     to one more state, which every code leaves as if from the start."""
     alone = len(nexts)
-    table = np.full((alone + 1, width), -1, np.int64)
+    start = np.full(width, alone, np.int32)
+    for c, t in nexts[0].items():
+        start[c] = t
+    start *= width
+    table = np.empty((alone + 1, width), np.int32)
+    table[:] = ~start
     for state, to in enumerate(nexts):
+        row = table[state]
         for c, t in to.items():
-            table[state, c] = t
-    start = np.where(table[0] >= 0, table[0], alone)
-    table = np.where(table >= 0, table * width, ~(start * width))
-    table[0] = start * width
-    return table.reshape(-1).astype(np.int32)
+            row[c] = t * width
+    table[0] = start
+    return table.reshape(-1)
 
 
 class Sparse:
@@ -114,6 +127,7 @@ class Languages:
         self.code = np.zeros(0x110000, np.int32)
         self.code[chars] = np.arange(1, len(chars) + 1)
         self.own, self.tables, self.rates = [], [], []
+        dense = sum(map(len, texts.values())) <= DENSE_CHARS
         for k in self.names:
             codes = self.codes(texts[k])
             kept = np.unique(codes)
@@ -121,43 +135,82 @@ class Languages:
             own[kept] = np.arange(1, len(kept) + 1)
             nexts = suffix_automaton(own[codes].tolist())
             self.own.append(own)
-            self.tables.append((transition_table if len(kept) < ALPHABET else Sparse)(nexts, len(kept) + 1))
+            self.tables.append((transition_table if dense and len(kept) < ALPHABET else Sparse)(nexts, len(kept) + 1))
             self.rates.append(np.log2(max(2, len(codes))))
 
     def codes(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.encode("utf-32-le"), "<u4")]
 
+    def step(self, k: int, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after the codes ``c`` in language k, and -1 where a phrase ended before them (else 0)."""
+        table = self.tables[k]
+        if isinstance(table, Sparse):
+            to, out = table.step(state, c)
+            return to, -out.astype(np.int32)
+        to = table[state + c]
+        out = to >> 31
+        return to ^ out, out
+
     def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
-        """How many phrases each text needs in each language."""
+        """How many phrases each text (none is empty) needs in each language."""
         sizes = np.array([len(c) for c in codes], np.int64)
         starts = np.cumsum(sizes) - sizes
         joined = np.concatenate(codes)
         cuts = -(-sizes // STRETCH)
         owner = np.repeat(np.arange(len(codes)), cuts)
-        within = (np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * STRETCH
-        begin, length = starts[owner] + within, np.minimum(STRETCH, sizes[owner] - within)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        begin, length = starts[owner] + nth * STRETCH, np.minimum(STRETCH, sizes[owner] - nth * STRETCH)
         by = np.argsort(-length, kind="stable")
-        begin, length, owner = begin[by], length[by], owner[by]
-        live = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")  # stretches longer than t
-        counts = np.zeros((len(codes), len(self.names)), np.int64)
-        live = live.tolist()
-        for k, (own, table) in enumerate(zip(self.own, self.tables, strict=True)):
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        ordered = begin[by]
+        live = np.searchsorted(-length[by], -np.arange(length.max()), side="left").tolist()  # stretches longer than t
+        later = np.flatnonzero(nth > 0)
+        counts = np.empty((len(codes), len(self.names)), np.int64)
+        for k, own in enumerate(self.own):
             mapped = own[joined]
-            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
+            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64)
             for t, n in enumerate(live):
-                c = mapped[begin[:n] + t]
-                if isinstance(table, Sparse):
-                    state[:n], out = table.step(state[:n], c)
-                    count[:n] += out
-                else:
-                    to = table[state[:n] + c]
-                    out = to >> 31  # -1 where a phrase ended
-                    count[:n] -= out
-                    np.bitwise_xor(to, out, out=state[:n])
-            # The last phrase of a stretch ends with it.
-            counts[:, k] = np.bincount(owner, weights=count + 1, minlength=len(codes))
+                state[:n], out = self.step(k, state[:n], mapped[ordered[:n] + t])
+                count[:n] -= out
+            count = count[place]
+            if len(later):
+                count += self._carried(k, mapped, begin, length, later, state[place])
+            # The last phrase ends with the text.
+            counts[:, k] = np.bincount(owner, weights=count, minlength=len(codes)) + 1
         return counts
 
+    def _carried(self, k: int, mapped: np.ndarray, begin: np.ndarray, length: np.ndarray, later: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """What to add to the phrases of each stretch if its parse doesn't begin anew but in the state in which the stretch
+        before it ends. ``later``: the stretches that aren't the first of their text; ``ends``: states of the fresh parses."""
+        known: dict[tuple[int, int], tuple[int, int]] = {}  # (stretch, state before it): state at its end, phrases to add
+        fresh = ends.tolist()
+        while True:
+            # The states are followed as far as they are known; beyond, a stretch's end is taken to be that of its fresh parse.
+            after, add, todo = {}, np.zeros(len(begin), np.int64), []
+            for i in later.tolist():
+                state = after.get(i - 1, fresh[i - 1])
+                if (i, state) in known:
+                    after[i], add[i] = known[i, state]
+                else:
+                    todo.append((i, state))
+            if not todo:
+                return add
+            lanes, states = (np.array(x) for x in zip(*todo, strict=True))
+            new, old, more = states.astype(np.int32), np.zeros(len(lanes), np.int32), np.zeros(len(lanes), np.int64)
+            end, open_, t = ends[lanes].copy(), np.flatnonzero(states != 0), 0
+            while len(open_):
+                over = length[lanes[open_]] == t
+                end[open_[over]] = new[open_[over]]
+                open_ = open_[~over]
+                c = mapped[begin[lanes[open_]] + t]
+                old[open_], was = self.step(k, old[open_], c)
+                new[open_], now = self.step(k, new[open_], c)
+                more[open_] += was - now
+                open_ = open_[old[open_] != new[open_]]
+                t += 1
+            known.update(zip(todo, zip(end.tolist(), more.tolist(), strict=True), strict=True))
+
 
 def normal(text: str | None) -> str:
     """Lower case, each run of other characters than letters one space."""
@@ -195,71 +248,59 @@ def predict(texts: list[str | None], model: Languages) -> tuple[list[str], list[
 
 
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Texts by language from ``labelled`` (doc_id, text, lang); rows without a letter or language don't count."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
-    # Only ids are ranked, and each task passes on a bounded number a language, however common the language is.
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    drawn = rows.select("doc_id", "lang", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs)
-    ids = {x.doc_id: x.n for x in drawn.collect()}
-    found = rows.where(F.col("doc_id").isin(list(ids))).select("doc_id", "lang", F.when(F.length("text") <= sample_chars, F.col("text")).alias("text")).collect() if ids else []
+    """Texts by language from ``labelled`` (doc_id, text, lang); rows without a letter, a language or a doc_id don't count.
+
+    What comes to the driver is ``sample_docs`` rows of numbers a language, and then ``sample_chars`` characters, twice at most.
+    """
+    spark = labelled.sparkSession
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.length("text").alias("size"), "text")
+    # Only numbers are ranked, and each task passes on a bounded number a language, however common the language is.
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
+    drawn = rows.drop("text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).orderBy("lang", "n").collect()
+    sample_chars = max(min(sample_chars, LEAST_CHARS), min(sample_chars, TOTAL_CHARS // max(1, len({x.lang for x in drawn}))))
+    taken, room, long = [], {}, {}
+    for x in drawn:
+        left = room.setdefault(x.lang, sample_chars)
+        if x.size > sample_chars:
+            long.setdefault(x.lang, x)
+        elif x.size <= left:
+            room[x.lang] -= x.size
+            taken.append((x, x.size))
+    taken += [(x, room[k]) for k, x in long.items() if room[k]]
+    if not taken:
+        return {}
+    wanted = T.StructType([*rows.select("doc_id", "lang", "t").schema.fields, T.StructField("n", T.IntegerType()), T.StructField("take", T.IntegerType())])
+    ids = spark.createDataFrame([(x.doc_id, x.lang, x.t, x.n, n) for x, n in taken], wanted)
+    first = F.when(F.col("size") > sample_chars, F.greatest(F.lit(1), F.regexp_instr(F.col("text"), F.lit(r"\p{L}")))).otherwise(F.lit(1))
+    # A bounded list, so the texts are found by one scan; rows that are alike in all are one.
+    found = rows.join(F.broadcast(ids), ["doc_id", "lang", "t"]).select("lang", "n", (F.col("size") > sample_chars).alias("long"), F.substring(F.col("text"), first, F.col("take")).alias("text"))
     samples: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
-    for x in sorted(found, key=lambda x: (ids[x.doc_id], x.text or "")):
-        samples.setdefault(x.lang, [])
-        if x.text and size.get(x.lang, 0) + len(x.text) <= sample_chars:
-            samples[x.lang].append(x.text)
-            size[x.lang] = size.get(x.lang, 0) + len(x.text)
-    # One stretch a language, so that no long texts pile up in the driver.
-    first: dict[str, tuple] = {}
-    for x in found:
-        if x.text is None and size.get(x.lang, 0) < sample_chars:
-            first[x.lang] = min(first.get(x.lang, (ids[x.doc_id], x.doc_id)), (ids[x.doc_id], x.doc_id))
-    if first:
-        long = rows.where(F.col("doc_id").isin([i for _, i in first.values()]) & (F.length("text") > sample_chars))
-        start = F.greatest(F.lit(1), F.regexp_instr(F.col("text"), F.lit(r"\p{L}")))
-        for x in sorted(long.select("doc_id", "lang", F.substring(F.col("text"), start, F.lit(sample_chars)).alias("text")).collect(), key=lambda x: x.text):
-            room = sample_chars - size.get(x.lang, 0)
-            if x.lang in first and first[x.lang][1] == x.doc_id and room > 0:
-                samples[x.lang].append(x.text[:room])
-                size[x.lang] = size.get(x.lang, 0) + len(x.text[:room])
-    return {k: v for k, v in samples.items() if v}
-
-
-_models: dict[int, Languages] = {}
-
-
-def _identifier(samples, number: int):
+    for x in sorted(set(found.collect()), key=lambda x: (x.long, x.n, x.text)):
+        samples.setdefault(x.lang, []).append(x.text)
+    return samples
+
+
+def _identifier(samples, key: str, names: list[str]):
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if number not in _models:
-            _models.clear()
-            _models[number] = Languages(samples.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            names, scores, start, size = [], [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= BATCH_CHARS or i == len(texts) - 1:
-                    more = predict(texts[start : i + 1], _models[number])
-                    names += more[0]
-                    scores += more[1]
-                    start, size = i + 1, 0
-            new = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
-            yield pa.record_batch([new[n] if n in new else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
+        model = held(key, lambda: Languages(samples.value))
+        for batch in slices(batches, "text"):
+            found, scores = predict(batch.column("text").to_pylist(), model)
+            new = {names[0]: pa.array(found, pa.string()), names[1]: pa.array(scores, pa.float64())}
+            yield pa.record_batch([new[n] if n in new else batch.column(i) for i, n in enumerate(batch.schema.names)], names=batch.schema.names)
 
     return identify
 
 
-def identify(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
-    """``docs`` (with a column text) and lang_pred, score. Columns of those names are replaced.
+def identify(docs: DataFrame, samples: dict[str, list[str]], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` (with a column text) and lang_pred, score, or what ``names`` has instead. Columns of those names are replaced.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if nothing was learnt. Equal bits
     go to the language that comes first by name.
     """
-    held = docs.sparkSession.sparkContext.broadcast(samples)
-    typed = docs.withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
-    # The number tells models apart in a Python worker that lives on.
-    number = zlib.crc32(repr(sorted(samples.items())).encode())
-    return typed.mapInArrow(_identifier(held, number), typed.schema)
+    sent = docs.sparkSession.sparkContext.broadcast(samples)
+    typed = docs.withColumns({names[0]: F.lit(None).cast("string"), names[1]: F.lit(None).cast("double")})
+    return typed.mapInArrow(_identifier(sent, uuid.uuid4().hex, list(names)), typed.schema)
 
 
 def held_out(docs: DataFrame):
@@ -276,5 +317,6 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, other columns) whose language can be told, unchanged: those that are ``und``
     or score under ``least_score`` go. Learns as report() does."""
-    found = identify(docs, learn(docs.where(~F.coalesce(held_out(docs), F.lit(True)))))
-    return found.where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least_score)).select(*docs.columns)
+    name, score = unused(docs, "lang_pred", "score")
+    found = identify(docs, learn(docs.where(~F.coalesce(held_out(docs), F.lit(True)))), (name, score))
+    return found.where((F.col(name) != UNDECIDED) & (F.col(score) >= least_score)).select(*docs.columns)

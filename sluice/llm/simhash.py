@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import written
+from sluice.llm.common import release, slices, unused, written
 from sluice.llm.graph import components
 
 BITS = 64
@@ -54,7 +54,8 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    release()
+    for batch in slices(batches, 1):
         found = np.array([fingerprint(shingle_hashes(t.as_py())) for t in batch.column(1)], np.uint64)
         yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
@@ -117,9 +118,11 @@ def near_duplicates(docs: DataFrame, distance: int = 2, blocks: int = 5, crowd:
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    """The rows with their fingerprint as one more column, the last."""
+    release()
+    for batch in slices(batches, "text"):
         found = np.array([fingerprint(shingle_hashes(t.as_py())) for t in batch.column("text").cast(pa.string())], np.uint64)
-        yield pa.record_batch([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "__fp"])
+        yield pa.record_batch([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, ""])
 
 
 def keep_one(docs: DataFrame, distance: int = 2, blocks: int = 5, crowd: int = 32, nameless: bool = False) -> DataFrame:
@@ -129,13 +132,14 @@ def keep_one(docs: DataFrame, distance: int = 2, blocks: int = 5, crowd: int = 3
     Rows are told apart by what they hold: different texts under one doc_id stay if they lie in different components. A row
     without a doc_id is kept with ``nameless`` only, where its component has no row with one.
     """
+    fp, none = unused(docs, "__fp", "__none")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    marked = docs.mapInArrow(_marked, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-    row = F.struct(F.col("doc_id").isNull().alias("__none"), "doc_id", "text", *others)
+    marked = docs.mapInArrow(lambda x: (b.rename_columns([*b.schema.names[:-1], fp]) for b in _marked(x)), T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    row = F.struct(F.col("doc_id").isNull().alias(none), "doc_id", "text", *others)
     # Copies are one row before anything is joined; summed up before the shuffle, so a crowd of them is a row a task.
-    firsts = written(marked.groupBy("__fp").agg(F.min(row).alias("__row")), "first-rows")
-    joined = components(links(firsts.select(F.col("__fp").alias("fp")), distance, blocks, crowd)).withColumnsRenamed({"node": "__fp", "component": "__root"})
-    best = firsts.join(joined, "__fp").groupBy("__root").agg(F.min(F.struct("__row", "__fp")).alias("__best")).select(F.col("__best.__fp").alias("__fp"))
-    losers = joined.join(best, "__fp", "left_anti").select("__fp")
-    kept = firsts.join(losers, "__fp", "left_anti")
-    return (kept if nameless else kept.where(~F.col("__row.__none"))).select("__row.*").select(*docs.columns)
+    firsts = written(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(row).alias("row")), "first-rows")
+    joined = components(links(firsts.select("fp"), distance, blocks, crowd)).withColumnsRenamed({"node": "fp", "component": "root"})
+    best = firsts.join(joined, "fp").groupBy("root").agg(F.min(F.struct("row", "fp")).alias("best")).select(F.col("best.fp").alias("fp"))
+    losers = joined.join(best, "fp", "left_anti").select("fp")
+    kept = firsts.join(losers, "fp", "left_anti")
+    return (kept if nameless else kept.where(~F.col("row").getField(none))).select("row.*").select(*docs.columns)
