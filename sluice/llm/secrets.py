@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and of ordinary identifiers.
 
 Two first-order models are trained from labelled samples: the chance of a character given the one before, in random
-strings and in identifiers and words. A token that no pattern has taken is a secret if its log-likelihood ratio is at least
-``LEAST_TOTAL`` nats, and ``LEAST_MEAN`` nats a character.
+strings and in identifiers and words. A token is a secret if its log-likelihood ratio is at least ``LEAST_TOTAL`` nats, and
+``LEAST_MEAN`` nats a character; it is added unless it lies wholly in a span that a pattern has taken.
 
 All of it is DataFrame expressions. A text is split by a pattern once; the pieces between matches and the matches themselves
-give every position by running sums and let a redacted text be joined again, in time proportional to the text.
+give every position by running sums. Spans are merged in one fold over their order, and a redacted text is joined from blocks
+of the text, so the time is in proportion to the text and its spans.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm.common import unused
+
 ASSIGN = r"""(?=[pPsStTaA])(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs are maximal, so a shorter run is dropped by the pattern itself just as by a look at its length afterwards.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -30,8 +33,9 @@ LEAST_MEAN = 0.35
 LEAST_TOTAL = 8.0
 #: Labelled samples: random strings of each kind, and pairs of words for identifiers.
 SAMPLES = 3000
-#: Elements whose sum is taken at once in a running sum.
+#: Elements of a block in a running sum, and characters of a block of text.
 _BLOCK = 256
+_TEXT_BLOCK = 4096
 
 #: Word parts of ordinary identifiers and texts.
 WORDS = """
@@ -121,16 +125,35 @@ def is_random(token: Column, ratios: list[float]) -> Column:
     return (total >= LEAST_TOTAL) & (total >= LEAST_MEAN * F.length(token))
 
 
-def running_sums(values: Column) -> Column:
-    """For each element of a long array, the sum of those before it: sums of blocks first, so that long arrays stay cheap."""
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, step) -> Column:
+    """For each element of an array of longs, what ``step`` has made of 0 and all before it: a fold of each block, and one over
+    the blocks' results, so that no array is copied more than a block's length."""
     zero = F.lit(0).cast("long")
-    total = lambda x: F.aggregate(x, zero, lambda s, v: s + v)
-    many = F.size(values)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((many - 1) / _BLOCK).cast("int")), lambda b: total(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
-    before = lambda blocks: F.transform(blocks, lambda _, b: F.when(b == 0, zero).otherwise(total(F.slice(blocks, F.lit(1), b))))
-    # An array of one array, so that the blocks' sums are named once.
-    named = F.transform(F.array(before(blocks)), lambda base: F.transform(values, lambda _, i: F.get(base, F.floor(i / _BLOCK).cast("int")) + total(F.slice(values, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK))))
-    return F.when(many == 0, F.array().cast("array<bigint>")).otherwise(F.element_at(named, 1))
+
+    def fold(start, x):
+        first = F.struct(start.alias("now"), F.array().cast("array<bigint>").alias("all"))
+        return F.aggregate(x, first, lambda s, v: F.struct(step(s["now"], v).alias("now"), F.array_append(s["all"], s["now"]).alias("all")), lambda s: s["all"])
+
+    def folded(x):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int")), lambda b: F.slice(x, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+        def both(parts):
+            starts = fold(zero, F.transform(parts, lambda p: F.aggregate(p, zero, step)))
+            return F.flatten(F.zip_with(starts, parts, fold))
+
+        return F.when(F.size(x) <= _BLOCK, fold(zero, x)).otherwise(_named(blocks, both))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(_named(values, folded))
+
+
+def running_sums(values: Column) -> Column:
+    """For each element, the sum of those before it."""
+    return running(values, lambda s, v: s + v)
 
 
 def _spans(text: Column, pattern: str, kind: int, wanted=None, group: int | None = None) -> Column:
@@ -147,18 +170,47 @@ def _spans(text: Column, pattern: str, kind: int, wanted=None, group: int | None
     return F.when(text.rlike(pattern), F.transform(rows, span)).otherwise(none)
 
 
+def by_place(spans: Column) -> Column:
+    """Spans by start, longer ones first, each with ``upto``: the furthest end of those before it."""
+    order = lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("minus"), x["kind"].alias("kind"))
+
+    def followed(x):
+        upto = running(F.transform(x, lambda s: -s["minus"]), lambda s, v: F.greatest(s, v))
+        return F.zip_with(x, upto, lambda s, u: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (-s["minus"]).alias("stop"), u.alias("upto")))
+
+    return _named(F.sort_array(F.transform(spans, order)), followed)
+
+
+def _plain(found: Column) -> Column:
+    return F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"))))
+
+
+def _within(text: Column, ratios: list[float]) -> Column:
+    """(assign, access, hex, added): the spans of each pattern, and those that the models add."""
+
+    def added(found):
+        base = F.concat(found["assign"], found["access"], found["hex"])
+        # What lies wholly in base spans that meet is told apart by place: a base span is never behind what it holds.
+        placed = by_place(F.concat(F.transform(base, lambda x: x.withField("kind", F.lit(-1))), found["markov"]))
+        new = _plain(F.filter(placed, lambda x: (x["kind"] == 3) & (x["stop"] > x["upto"])))
+        return F.struct(found["assign"].alias("assign"), found["access"].alias("access"), found["hex"].alias("hex"), F.when(F.size(found["markov"]) > 0, new).otherwise(found["markov"]).alias("added"))
+
+    patterns = F.struct(
+        _spans(text, ASSIGN, 0, lambda v: F.length(v) >= 12, 2).alias("assign"), _spans(text, ACCESS, 1).alias("access"), _spans(text, HEX, 2).alias("hex"),
+        _spans(text, TOKEN, 3, lambda t: is_random(t, ratios)).alias("markov"),
+    )
+    return _named(patterns, added)
+
+
 def spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """``docs`` with __base and __added: arrays of (start, kind, stop), code points with an exclusive end, by start.
+    """``docs`` with __assign, __access, __hex, __base (all of these) and __added: arrays of (start, kind, stop), code points
+    with an exclusive end, by start.
 
-    Kinds are places in KINDS. Null texts are empty. Added spans never touch a base one.
+    Kinds are places in KINDS. Null texts are empty. Added spans don't lie wholly in an earlier span, but may overlap one.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.withColumn("__assign", _spans(text, ASSIGN, 0, lambda v: F.length(v) >= 12, 2))
-    docs = docs.withColumn("__access", _spans(text, ACCESS, 1)).withColumn("__hex", _spans(text, HEX, 2))
-    docs = docs.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex")))
-    docs = docs.withColumn("__added", _spans(text, TOKEN, 3, lambda t: is_random(t, ratios)))
-    apart = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-    return docs.withColumn("__added", F.when(F.size("__added") > 0, F.filter("__added", apart)).otherwise(F.col("__added")))
+    found = docs.withColumn("__found", _within(F.coalesce(F.col("text").cast("string"), F.lit("")), ratios))
+    found = found.withColumns({f"__{k}": F.col("__found")[k] for k in ("assign", "access", "hex", "added")})
+    return found.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex"))).drop("__found")
 
 
 def _joined(found: Column) -> Column:
@@ -175,21 +227,39 @@ def report(docs: DataFrame, ratios: list[float]) -> DataFrame:
     )
 
 
-def _masked(text: Column, pattern: str, wanted=None, group: int | None = None) -> Column:
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    ends = F.zip_with(found, inner, lambda m, v: F.when(wanted(v), F.lit(MASK)).otherwise(m)) if wanted else F.transform(found, lambda _: F.lit(MASK))
-    joined = F.array_join(F.zip_with(pieces, ends, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+def masked(text: Column, found: Column) -> Column:
+    """``text`` with MASK in place of each stretch that spans cover; spans that overlap or meet are one stretch."""
+
+    def joined(x):
+        chunks, placed = x["chunks"], x["placed"]
+
+        def between(a, b):
+            """Characters a to b, from the blocks that hold them."""
+            i, j = F.floor(a / _TEXT_BLOCK).cast("int"), F.floor(b / _TEXT_BLOCK).cast("int")
+            at = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+            head, tail = (a - i * _TEXT_BLOCK).cast("int"), (b - j * _TEXT_BLOCK).cast("int")
+            far = F.concat(F.substring(at(i), head + 1, F.lit(_TEXT_BLOCK)), F.array_join(F.slice(chunks, i + 2, F.greatest(F.lit(0), j - i - 1)), ""), F.substring(at(j), F.lit(1), tail))
+            return F.when(i == j, F.substring(at(i), head + 1, tail - head)).otherwise(far)
+
+        heads = F.filter(placed, lambda s, k: (k == 0) | (s["start"] > s["upto"]))
+        end = F.aggregate(placed, F.lit(0).cast("long"), lambda m, s: F.greatest(m, s["stop"]))
+        before = F.array_join(F.transform(heads, lambda s: F.concat(between(s["upto"], s["start"]), F.lit(MASK))), "")
+        return F.concat(before, between(end, x["size"]))
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_TEXT_BLOCK}}}"), F.lit(0)).alias("chunks"), by_place(found).alias("placed"), F.length(text).cast("long").alias("size"))
+    return F.when(F.size(found) > 0, _named(parts, joined)).otherwise(text)
 
 
 def redact(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """``docs`` with each secret in text replaced by MASK, and n_chars counted anew where text changed. No row goes, and
-    texts without a secret (null ones too) are unchanged."""
-    kinds = docs.columns
-    docs = docs.withColumn("__old", F.col("text"))
-    for pattern, wanted, group in ((ASSIGN, lambda v: F.length(v) >= 12, 2), (ACCESS, None, None), (HEX, None, None), (TOKEN, lambda t: is_random(t, ratios), None)):
-        docs = docs.withColumn("text", _masked(F.col("text"), pattern, wanted, group))
-    if "n_chars" in kinds:
-        docs = docs.withColumn("n_chars", F.when(F.col("text") != F.col("__old"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return docs.select(*kinds)
+    """``docs`` with each stretch of text that spans() lists replaced by MASK, and n_chars counted anew where text changed. No
+    row goes, and texts without a secret (null ones too) are unchanged. Other columns may have any name."""
+
+    def of(text):
+        return _named(_within(text, ratios), lambda x: masked(text, F.concat(x["assign"], x["access"], x["hex"], x["added"])))
+
+    text = F.when(F.col("text").isNotNull(), _named(F.col("text").cast("string"), of))
+    old, = unused(docs, "__old")
+    found = docs.withColumns({"text": text, old: F.col("text")})
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("text") != F.col(old), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
