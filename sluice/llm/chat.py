@@ -8,7 +8,10 @@ Input comes in pieces (conversation, place, text) of any number of lines, and ea
 side needs a whole conversation in one cell. Conversations of up to ``long`` pieces are decoded where a shuffle by conversation
 puts them, many abreast in numpy. A longer one, however long, is dealt by ranges of its places into segments; each segment
 gives the best score from every state before it to every state at its end (a max-plus matrix), the matrices are chained, and
-the segments are decoded with their ends fixed: the same path as in one go.
+the segments are decoded with their ends fixed: the same path as in one go. Turns are counted in the states, never in the
+rendered text, and control marks that a text itself holds are escaped, so no text can forge a turn.
+
+A piece is a cell of its own and is decoded whole, so a worker's memory follows its longest piece (about 60 bytes a line).
 """
 
 from __future__ import annotations
@@ -19,16 +22,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import written
+from sluice.llm.common import release, slices, written
 
 ROLES = ("system", "user", "assistant")
 #: Begins, then goes on, for each role.
 STATES = 2 * len(ROLES)
-#: Conversations whose pieces make the model, the first by a hash.
+#: Conversations that make the model, the first by a hash, and what is taken of each: its first turns, and their first characters.
 SAMPLE = 400
+SAMPLE_TURNS = 64
+SAMPLE_CHARS = 1000
+#: Bytes of text that are decoded abreast, but for a conversation that has more.
+ABREAST = 8 << 20
 #: Pieces of a conversation that one task decodes at once.
 LONG = 4096
 #: Speaker markers at the start of a line, by role.
@@ -39,6 +46,8 @@ MARKERS = (
 )
 _MARKER = re.compile(r"^\s*(?:" + "|".join(f"(?P<{r}>{p})" for r, p in MARKERS) + r")\s*[:>]\s*", re.I)
 _OTHER = re.compile(r"^\s*[\w#][\w #]{0,20}:\s+")
+_CONTROL = re.compile(r"<(\\*)\|(?=(?:system|user|assistant|end)\|>)")
+_ESCAPED = re.compile(r"<\\(\\*)\|(?=(?:system|user|assistant|end)\|>)")
 #: Values of each feature: marker (none, a role's, another), length class, ends in a question mark, begins in lower case.
 SIZES = (5, 4, 2, 2)
 
@@ -138,9 +147,18 @@ def chain(matrices: list[np.ndarray]) -> list[int]:
     return ends[::-1]
 
 
+def escape(text: str) -> str:
+    """A body without control marks of its own: one more backslash in each. unescape() takes it out again."""
+    return _CONTROL.sub(r"<\1\\|", text) if "|>" in text else text
+
+
+def unescape(text: str) -> str:
+    return _ESCAPED.sub(r"<\1|", text)
+
+
 def render(lines: list[str], states: np.ndarray, opened: bool) -> str:
-    """Canonical turns: a header for each line that begins one, bodies without markers, a footer before the next header.
-    ``opened``: a turn goes on from the piece before."""
+    """Canonical turns: a header for each line that begins one, bodies without markers and escaped, a footer before the next
+    header. ``opened``: a turn goes on from the piece before."""
     out = []
     for line, s in zip(lines, states.tolist(), strict=True):
         if s % 2 == 0:
@@ -150,7 +168,7 @@ def render(lines: list[str], states: np.ndarray, opened: bool) -> str:
             opened = True
             m = _MARKER.match(line)
             line = line[m.end() :] if m else line
-        out.append(line)
+        out.append(escape(line))
     return "\n".join(out)
 
 
@@ -171,27 +189,26 @@ def raw(role: Column, conversation: Column, place: Column, text: Column) -> Colu
 _ROWS = "key string, place long, text string"
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterator[pd.DataFrame]:
-    """Whole groups (equal keys, that lie together) of about ``most`` rows at a time."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int = ABREAST) -> Iterator[pd.DataFrame]:
+    """Whole groups (equal keys, that lie together) of about ``most`` bytes of text at a time."""
     held: list[pd.DataFrame] = []
     size = 0
-    for batch in batches:
+    for batch in slices(batches, "text"):
         rows = batch.to_pandas(integer_object_nulls=True)
-        if not len(rows):
-            continue
         if size >= most:
             new = np.flatnonzero(rows["key"].to_numpy() != held[-1]["key"].iloc[-1])
             if len(new):
                 yield pd.concat([*held, rows.iloc[: new[0]]], ignore_index=True)
                 held, size, rows = [], 0, rows.iloc[new[0] :]
         held.append(rows)
-        size += len(rows)
+        size += 64 * len(rows) + batch.column("text").nbytes
     if held:
         yield pd.concat(held, ignore_index=True)
 
 
 def _decoded(rows: pd.DataFrame, model: dict[str, np.ndarray]) -> pd.DataFrame:
-    """Rows (key, place, text, and maybe entry, exit, turns), equal keys together, with their states, turns and renderings."""
+    """Rows (key, place, text, and maybe entry, exit), equal keys together, with their roles, turns and renderings. Turns are
+    counted from 0 in what is given of a conversation; ``begun``: how many begin in the piece."""
     lines = [lines_of(t) for t in rows["text"]]
     counts = np.array([len(x) for x in lines])
     emission = scores(np.array([line_features(x) for piece in lines for x in piece]), model)
@@ -201,29 +218,31 @@ def _decoded(rows: pd.DataFrame, model: dict[str, np.ndarray]) -> pd.DataFrame:
     has = "entry" in rows
     entries = rows["entry"].to_numpy()[firsts].tolist() if has else [-1] * len(firsts)
     exits = rows["exit"].to_numpy()[firsts].tolist() if has else [-1] * len(firsts)
-    turns = rows["turns"].to_numpy()[firsts] if has else np.zeros(len(firsts), np.int64)
     states = np.concatenate(viterbi([emission[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], model, entries, exits))
-    begun = np.cumsum(states % 2 == 0)
+    begun = np.concatenate(([0], np.cumsum(states % 2 == 0)))
     group = np.repeat(np.arange(len(firsts)), np.diff([*firsts, len(rows)]))
-    base = np.concatenate(([0], begun))[at[firsts]][group] - turns[group]
+    base = begun[at[firsts]][group]
     # Whether a turn was begun before the piece, be it in another segment.
-    opened = (np.concatenate(([0], begun))[at[:-1]] - base > 0) | (np.array(entries)[group] >= 0)
+    opened = (begun[at[:-1]] - base > 0) | (np.array(entries)[group] >= 0)
     return pd.DataFrame({
         "key": rows["key"], "place": rows["place"], "n_lines": counts,
         "role": [ROLES[s // 2] for s in states[at[:-1]]],
-        "turn_no": begun[at[:-1]] - base - 1,
+        "turn_no": begun[at[:-1] + 1] - base - 1,
+        "begun": np.diff(begun[at]),
         "rendered": [render(x, states[a:b], o) for x, a, b, o in zip(lines, at[:-1].tolist(), at[1:].tolist(), opened.tolist(), strict=True)],
     })
 
 
 _OUT = "key string, place long, n_lines long, role string, turn_no long, rendered string"
-_ARROW = pa.schema([("key", pa.string()), ("place", pa.int64()), ("n_lines", pa.int64()), ("role", pa.string()), ("turn_no", pa.int64()), ("rendered", pa.string()), ("segment", pa.int64())])
+_ARROW = pa.schema([("key", pa.string()), ("place", pa.int64()), ("n_lines", pa.int64()), ("role", pa.string()), ("turn_no", pa.int64()), ("rendered", pa.string()), ("segment", pa.int64()), ("begun", pa.int64())])
+_SHORT = pa.schema(list(_ARROW)[:6])
 
 
 def _short(model):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for rows in _groups(batches):
-            yield pa.RecordBatch.from_pandas(_decoded(rows, model.value), schema=_ARROW.remove(6), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(_decoded(rows, model.value), schema=_SHORT, preserve_index=False)
 
     return decode
 
@@ -285,17 +304,13 @@ def parse(pieces: DataFrame, model: dict[str, np.ndarray], long: int = LONG) ->
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups((b.rename_columns(["name" if n == "key" else "key" if n == "segment" else n for n in b.schema.names]) for b in batches), 1):
-            rows["turns"] = 0
             found = _decoded(rows, held.value)
             found["segment"], found["key"] = rows["key"], rows["name"]
             yield pa.RecordBatch.from_pandas(found, schema=_ARROW, preserve_index=False)
 
-    local = written(cut.join(ends, "segment").repartition("segment").sortWithinPartitions("segment", "at").mapInArrow(decode, _OUT + ", segment long"), "decoded-segments")
+    local = written(cut.join(ends, "segment").repartition("segment").sortWithinPartitions("segment", "at").mapInArrow(decode, _OUT + ", segment long, begun long"), "decoded-segments")
     # A segment's turns are counted from its own start; the number begun in the segments before is added.
-    from pyspark.sql import Window
-
-    begun = F.expr("size(regexp_extract_all(concat('\n', rendered, '\n'), '\n<[|](system|user|assistant)[|]>(?=\n)', 0))")
-    each = local.groupBy("key", "segment").agg(F.sum(begun).alias("begun"))
+    each = local.groupBy("key", "segment").agg(F.sum("begun").alias("begun"))
     before = Window.partitionBy("key").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     offsets = each.select("segment", F.coalesce(F.sum("begun").over(before), F.lit(0)).alias("before"))
     whole = local.join(offsets, "segment").withColumn("turn_no", F.col("turn_no") + F.col("before"))
@@ -307,13 +322,17 @@ def held_out(conversation: Column) -> Column:
 
 
 def train(turns: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """The model from labelled turns (conv_id, turn, role, text): the raw forms of up to ``sample`` conversations of at most
-    LONG turns in all."""
+    """The model from labelled turns (conv_id, turn, role, text): the raw forms of the first SAMPLE_TURNS turns of up to
+    ``sample`` conversations, SAMPLE_CHARS characters of each. Only learning is bounded so; parse() reads all."""
     ids = [x.conv_id for x in turns.where(F.col("conv_id").isNotNull()).select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(sample).collect()]
-    rows = turns.where(F.col("conv_id").isin(ids)).select("conv_id", "turn", "role", raw(F.col("role"), F.col("conv_id"), F.col("turn"), F.col("text")).alias("raw"))
-    rows = rows.orderBy("conv_id", "turn", "raw").limit(16 * LONG).collect() if ids else []
+    if not ids:
+        return learn([])
+    own = turns.where(F.col("conv_id").isin(ids)).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    first = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = own.withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_TURNS)
+    rows = rows.select("conv_id", "k", "role", raw(F.col("role"), F.col("conv_id"), F.col("turn"), F.col("text")).alias("raw"))
     found: dict = {}
-    for x in rows:
+    for x in sorted(rows.collect(), key=lambda x: (x.conv_id, x.k)):
         found.setdefault(x.conv_id, []).append((x.role, x.raw))
     return learn(list(found.values()))
 
