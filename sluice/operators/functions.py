@@ -6,7 +6,7 @@ inventory's meaning.
 
 from __future__ import annotations
 
-from sluice.bank import case
+from sluice.registry import case
 
 case(
     "date_parts",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.bank import case, query, table
+from sluice.registry import case, query, table
 
 case("scan_project_filter", "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM {lineitem} WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00' AND l_quantity < 10")
 case("select_star", "SELECT * FROM {nation}")
