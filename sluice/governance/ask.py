@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from sluice.governance import policy
 from sluice.governance.gateway import Gateway, Refused
 from sluice.governance.model import Reason, Validated
 
@@ -25,12 +26,18 @@ def clean(question: str, most: int = 2000) -> str:
     return re.sub(r"\s+", " ", "".join(c if c.isprintable() else " " for c in question)).replace("```", "'''").strip()[:most]
 
 
+def _mentions(question: str, term: str) -> bool:
+    """Whether a question has a term of the glossary, in the singular or with an s."""
+    return re.search(rf"(?<!\w){re.escape(term)}s?(?!\w)", clean(question), re.I) is not None
+
+
 def prompt(gateway: Gateway, question: str, reasons: tuple[Reason, ...] = (), before: str = "") -> str:
     tables = []
     for t in gateway.tables():
         columns = ", ".join(f"{c.name} {c.family}" for c in gateway.catalog.columns[t] if c.published)
         tables.append(f"{t}({columns})")
-    parts = ["Answer with one SQL query over these tables, and nothing else.", *tables, f"Question: ```{clean(question)}```"]
+    terms = [f"{term}: {meaning}" for term, meaning in sorted(policy.GLOSSARY.items()) if _mentions(question, term)]
+    parts = ["Answer with one SQL query over these tables, and nothing else.", *tables, *(["Terms:", *terms] if terms else []), f"Question: ```{clean(question)}```"]
     if reasons:
         parts += [f"Refused: {before}", *[f"{r.rule}: {r.message} {r.suggestion}".strip() for r in reasons]]
     return "\n".join(parts)

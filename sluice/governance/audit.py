@@ -24,6 +24,20 @@ def link(prev: str, body: str) -> str:
     return hashlib.sha256(bytes.fromhex(prev) + body.encode()).hexdigest()
 
 
+SCHEMA = "seq long, status string, prev string, hash string, body string"
+
+
+def sealed(seq: int, prev: str, what: dict) -> dict:
+    """A record with its number, time, link and hash."""
+    record = {"seq": seq, "at": round(time.time(), 3), **what}
+    return record | {"prev": prev, "hash": link(prev, canonical(record))}
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A log that was exported as JSON lines, for faults(); read in parallel."""
+    return spark.read.schema(SCHEMA).json(path)
+
+
 @dataclass
 class Log:
     """Append-only in this process; ``sink`` takes each record as it is made."""
@@ -34,9 +48,7 @@ class Log:
 
     def append(self, **what) -> dict:
         with self.lock:
-            prev = self.records[-1]["hash"] if self.records else GENESIS
-            record = {"seq": len(self.records) + 1, "at": round(time.time(), 3), **what}
-            record |= {"prev": prev, "hash": link(prev, canonical(record))}
+            record = sealed(len(self.records) + 1, self.records[-1]["hash"] if self.records else GENESIS, what)
             self.records.append(record)
             if self.sink is not None:
                 self.sink(record)
@@ -52,7 +64,7 @@ class Log:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(r["seq"], r["status"], r["prev"], r["hash"], canonical(r)) for r in self.records]
-        return spark.createDataFrame(rows, "seq long, status string, prev string, hash string, body string")
+        return spark.createDataFrame(rows, SCHEMA)
 
 
 def faults(log: DataFrame) -> DataFrame:

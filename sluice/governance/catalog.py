@@ -113,6 +113,18 @@ class Catalog:
             if r.path:
                 self.statistics[r.name] = Statistics.of_parquet(r.path)
 
+    def violations(self) -> list[tuple[str, str, str]]:
+        """(view column, base column, role) wherever the policy shows a role more of a derived column than of what it comes
+        from: a view's own rule must never loosen that of its sources."""
+        order = [Level.ALLOW, Level.MASK, Level.DENY]
+        found = []
+        for name, columns in self.columns.items():
+            for c in columns:
+                own = f"{name}.{c.name}"
+                if self.relations[name].build and own in policy.COLUMNS:
+                    found += [(own, base, role) for base in c.lineage for role in policy.ROLES if order.index(policy.level(role, own)) < order.index(policy.level(role, base))]
+        return found
+
     @staticmethod
     def published(column: str) -> bool:
         """A column that no role may see isn't shown at all."""
@@ -135,5 +147,18 @@ class Catalog:
         return hashlib.sha256(self.canonical().encode()).hexdigest()
 
 
+def of_statements(spark: SparkSession, tables: dict[str, str], views: dict[str, str]) -> Catalog:
+    """A catalog of tables by path and views by statement, whatever order the views are given in. Views that read each other
+    in a circle can't be built and raise ValueError."""
+    reads = {}
+    for name, text in views.items():
+        raw = tree.parsed(spark, text)
+        reads[name] = {".".join(tree.name_parts(x.fields["multipartIdentifier"])) for x in raw.walk() if x.name == "UnresolvedRelation"} & views.keys()
+    ordered, circular = lineage.order(reads)
+    if circular:
+        raise ValueError(f"views read each other: {', '.join(circular)}")
+    return Catalog(spark, [Relation(n, p) for n, p in tables.items()] + [Relation(n, build=lambda s, t=views[n]: s.sql(t)) for n in ordered])
+
+
 def of_folder(spark: SparkSession, folder: str, names: tuple[str, ...]) -> Catalog:
     return Catalog(spark, [Relation(n, f"{folder}/{n}.parquet") for n in names])

@@ -114,13 +114,15 @@ def outcome(found: ResultSet | None, expected: ResultSet | None, timed_out: bool
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """(n, digest): a multiset fingerprint of a frame of any size, from sums of row hashes. Doubles count by twelve digits,
-    columns by name; rows in any order give the same."""
+    """(n, digest): a multiset fingerprint of a frame of any size, from sums of the halves of each row's MD5. Doubles count by
+    six decimals, columns by name; rows in any order give the same, in any engine that has MD5."""
     cells = []
     for c in sorted(df.columns):
-        kind = dict(df.dtypes)[c]
-        text = F.format_string("%.12g", F.col(c) + 0.0) if kind in ("double", "float") else F.col(c).cast("string")
+        text = F.col(c).cast("string")
+        if dict(df.dtypes)[c] in ("double", "float"):
+            text = F.coalesce(F.col(c).try_cast("decimal(38,6)").cast("string"), text)
         cells.append(F.coalesce(F.concat(F.lit("v"), text), F.lit("n")))
-    h = F.xxhash64(*cells)
-    low, high = F.pmod(h, F.lit(1 << 31)), F.pmod(F.shiftright(h, 31), F.lit(1 << 31))
-    return df.select(low.alias("l"), high.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", F.hex(F.coalesce(F.sum("h"), F.lit(0))), F.hex(F.coalesce(F.sum("l"), F.lit(0)))).alias("digest"))
+    h = F.md5(F.encode(F.concat_ws("|", *cells), "utf-8"))
+    part = lambda i: F.conv(F.substring(h, i, 8), 16, 10).cast("decimal(20,0)")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)").cast("string")
+    return df.select(part(1).alias("h"), part(9).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", total("h"), total("l")).alias("digest"))

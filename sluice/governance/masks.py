@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.governance import policy
@@ -24,18 +23,15 @@ def keep_last(column: Column, n: int) -> Column:
 
 
 def stable_hash(column: Column, pepper: str) -> Column:
-    """Twelve hex digits of sha256(value, pepper). The pepper sits in a function's closure: a plan's text doesn't show it."""
+    """Twelve hex digits of sha256(value, pepper). hide() keeps the pepper out of the texts of a session's plans."""
     if len(pepper) < 32:
         raise ValueError("the pepper needs 32 characters at least")
+    return F.substring(F.sha2(F.encode(F.concat(column.cast("string"), F.lit(pepper)), "utf-8"), 256), 1, 12)
 
-    @F.pandas_udf("string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import hashlib
 
-        for values in batches:
-            yield values.map(lambda v: None if v is None else hashlib.sha256((v + pepper).encode()).hexdigest()[:12])
-
-    return digest(column.cast("string"))
+def hide(spark: SparkSession, pepper: str) -> None:
+    """Plans of this session, and what is logged of them, show a mark in the pepper's place."""
+    spark.conf.set("spark.sql.redaction.string.regex", re.escape(pepper))
 
 
 def masked(df: DataFrame, table: str, role: str, pepper: str) -> DataFrame:

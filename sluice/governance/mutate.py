@@ -61,3 +61,12 @@ def mutants(texts: list[str], seed: int, rounds: int = 2) -> list[str]:
                 t = m(t, r)
             out.add(t)
     return sorted(out.difference(texts))
+
+
+def recovery(seeds: list[tuple[str, str, str]], seed: int, rounds: int = 1) -> list[tuple[str, str, str]]:
+    """A corpus for loops that must recover from a refusal, from (question, refused statement, right statement) seeds: every
+    seed with every variant of its refused statement, each once, in an order that depends on ``seed`` alone."""
+    found = {(q, m, right): None for q, wrong, right in seeds for m in [wrong, *mutants([wrong], seed, rounds)]}
+    out = list(found)
+    random.Random(seed).shuffle(out)
+    return out

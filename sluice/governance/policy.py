@@ -33,6 +33,14 @@ COLUMNS: dict[str, Rule] = {
     "conversations.text": Rule((D, D, D, A), "redact"),
     "pages.html": Rule((D, A, D, A), "redact"),
 }
+#: What the words of questions mean, in terms of the tables.
+GLOSSARY: dict[str, str] = {
+    "order value": "o_totalprice of orders; an order has several lines, so never summed after a join with lineitem",
+    "line value": "l_extendedprice of lineitem, before discount and tax",
+    "buyer": "a customer with at least one order; customers without orders are no buyers",
+    "active user": "a distinct user_id of events that are not errors",
+    "month": "the calendar month of the event's own date, never of today",
+}
 #: Where a masked column must not stand: there its raw values would decide the result.
 FORBIDDEN = frozenset(Position) - {Position.PROJECTION}
 SMALLEST_GROUP = 5
