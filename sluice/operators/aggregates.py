@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.bank import case, cents, query, table
+from sluice.registry import case, cents, query, table
 
 case(
     "agg_pricing_summary",
@@ -44,7 +44,12 @@ case("agg_mode", "SELECT user_id, max_by(event_type, struct(n, event_type)) AS u
 case("agg_global_empty", "SELECT count(*) AS n, max(o_totalprice) AS hi FROM {orders} WHERE o_orderkey < 0")
 
 
-@query()
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(*) AS n, true AS parts_close, true AS mid_close FROM {lineitem} GROUP BY l_returnflag")
 def agg_approx(spark, folder):
-    """Sketches: their error differs by engine, so there is no oracle."""
-    return table(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("mid"))
+    """Sketches beside the exact figures: the distinct count within three standard errors, the median within the sketch's
+    share of ranks."""
+    lines = table(spark, folder, "lineitem")
+    rough = lines.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.03).alias("about"), F.percentile_approx("l_quantity", 0.5, 1000).alias("mid"), F.countDistinct("l_partkey").alias("parts"), F.count(F.lit(1)).alias("n"))
+    ranks = lines.join(F.broadcast(rough.select("l_returnflag", "mid")), "l_returnflag").groupBy("l_returnflag").agg(F.avg((F.col("l_quantity") < F.col("mid")).cast("int")).alias("below"), F.avg((F.col("l_quantity") <= F.col("mid")).cast("int")).alias("upto"))
+    close = F.abs(F.col("about") - F.col("parts")) <= 0.09 * F.col("parts")
+    return rough.join(ranks, "l_returnflag").select("l_returnflag", "parts", "n", close.alias("parts_close"), ((F.col("below") <= 0.501) & (F.col("upto") >= 0.499)).alias("mid_close"))

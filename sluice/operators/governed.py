@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.bank import query, table
+from sluice.registry import query, table
 from sluice.governance import audit, catalog, cost, gateway, masks
 from sluice.governance.compare import fingerprint
 from sluice.governance.model import Principal
@@ -72,6 +72,26 @@ VERDICTS = (
     ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment", "analyst", ""),
     ("SELECT n_name, r_name FROM nation CROSS JOIN region", "operations", ""),
     ("SELECT c_name FROM customer WHERE c_mktsegment = ''BUILDING''", "analyst", ""),
+    ("SELECT * FROM (" * 10 + "SELECT o_orderkey FROM orders" + ") AS t" * 10, "admin", "R007"),
+    ("SELECT o.missing.* FROM orders o", "admin", "R009"),
+    ("SELECT " + " + ".join(["1"] * 2_400) + " AS n", "admin", "R013"),
+    ("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey", "admin", "R012"),
+    ("SELECT c_custkey, count(*) AS n FROM customer GROUP BY c_custkey HAVING count(*) >= 5", "admin", "R012"),
+    ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING NOT (count(*) >= 5)", "admin", "R012"),
+    ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING count(*) IN (1, 2)", "admin", "R012"),
+    ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING count(*) < 5 OR count(*) >= 5", "admin", "R012"),
+    ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING count(*) + 0 < 3", "admin", "R012"),
+    ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING sum(1) < 3", "admin", "R012"),
+    ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) < 3", "admin", "R012"),
+    ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING count(*) <> 7", "admin", "R012"),
+    ("SELECT c_mktsegment, n FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment) AS t WHERE n < 3", "admin", "R012"),
+    ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING count(*) > 100", "analyst", ""),
+    ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING count(*) > 4 AND count(*) <= 1000000", "analyst", ""),
+    ("SELECT a.o_orderkey FROM orders a JOIN lineitem b ON a.o_orderkey = a.o_orderkey", "admin", "R005"),
+    ("SELECT a.o_orderkey FROM orders a JOIN lineitem b ON a.o_orderkey > 0", "admin", "R005"),
+    ("SELECT a.o_orderkey FROM orders a JOIN lineitem b ON a.o_orderkey = b.l_orderkey OR a.o_orderkey > 0", "admin", "R005"),
+    ("SELECT a.o_orderkey FROM orders a JOIN lineitem b ON a.o_orderkey = b.l_orderkey AND b.l_quantity > 5", "admin", ""),
+    ("SELECT a.o_orderkey FROM orders a JOIN lineitem b ON b.l_shipdate BETWEEN a.o_orderdate AND a.o_orderdate", "admin", ""),
 )
 
 
@@ -89,18 +109,24 @@ def guard_verdicts(spark, folder):
     return spark.createDataFrame(rows, "id int, rule string")
 
 
-@query()
+@query(
+    """SELECT 'one column' AS statement, count(*) AS n_rows, true AS priced, true AS as_listed FROM {lineitem} UNION ALL SELECT 'two columns', count(*), true, true FROM {lineitem} UNION ALL SELECT 'no column', count(*), true, true FROM {lineitem}
+    UNION ALL SELECT 'two tables', (SELECT count(*) FROM {orders}) + (SELECT count(*) FROM {customer}), true, true"""
+)
 def cost_estimates(spark, folder):
-    """Prices depend on the files' encodings, so there is no oracle."""
-    own = catalog.of_folder(spark, folder, TABLES)
-    texts = ("SELECT l_returnflag FROM lineitem", "SELECT l_returnflag, l_quantity FROM lineitem", "SELECT count(*) AS n FROM lineitem", "SELECT * FROM orders JOIN customer ON c_custkey = o_custkey")
-    rows = [(t, *_priced(own, t)) for t in texts]
-    return spark.createDataFrame(rows, "statement string, bytes long, n_rows long, files int")
-
-
-def _priced(own, text):
-    found = cost.estimate(tree.analyzed(own.spark.sql(text)), own)
-    return found.bytes, found.rows, found.files
+    """Prices from the files' footers. Bytes depend on the encoding, so they are held against each other: every price is above
+    zero, and a statement costs its columns' bytes, or the whole table where it mentions none."""
+    own = catalog.of_folder(spark, folder, ("lineitem", "orders", "customer"))
+    size = lambda t, *names: sum(f.columns[n] for f in own.statistics[t].files for n in names or f.columns)
+    texts = {
+        "one column": ("SELECT l_returnflag FROM lineitem", size("lineitem", "l_returnflag")), "two columns": ("SELECT l_returnflag, l_quantity FROM lineitem", size("lineitem", "l_returnflag", "l_quantity")),
+        "no column": ("SELECT count(*) AS n FROM lineitem", size("lineitem")), "two tables": ("SELECT * FROM orders JOIN customer ON c_custkey = o_custkey", size("orders") + size("customer")),
+    }
+    rows = []
+    for name, (text, want) in texts.items():
+        found = cost.estimate(tree.analyzed(own.spark.sql(text)), own)
+        rows.append((name, found.rows, found.bytes > 0, found.bytes == want))
+    return spark.createDataFrame(rows, "statement string, n_rows long, priced boolean, as_listed boolean")
 
 
 @query("SELECT 'k' AS output, 'orders.o_custkey' AS source UNION ALL SELECT 'n', '' UNION ALL SELECT 'top', 'orders.o_totalprice' UNION ALL SELECT 'label', 'customer.c_mktsegment' UNION ALL SELECT 'label', 'customer.c_name'")
@@ -112,21 +138,24 @@ def lineage_table(spark, folder):
     return spark.createDataFrame([(c, s) for c, found in traced for s in (sorted(found) or [""])], "output string, source string")
 
 
-@query("SELECT CAST(4 AS BIGINT) AS seq, 'content' AS fault UNION ALL SELECT 7, 'prev'")
+@query("SELECT CAST(4 AS BIGINT) AS seq, 'content' AS fault UNION ALL SELECT 7, 'prev' UNION ALL SELECT 8, 'prev'")
 def audit_chain_verify(spark, folder):
-    """Ten records; one is altered, and one is linked to another record than the one before it."""
+    """Ten records; one is altered, and one is linked to another record than the one before it, so the one after it no longer
+    meets its hash."""
     log = audit.Log()
     for i in range(10):
         log.append(operation="run", status="executed", sql=f"SELECT {i}")
     log.records[3]["sql"] = "SELECT 99"
     log.records[6]["prev"] = log.records[1]["hash"]
     log.records[6]["hash"] = audit.link(log.records[6]["prev"], audit.canonical(log.records[6]))
-    found = audit.faults(log.frame(spark))
-    # The record after a relinked one no longer meets its hash.
-    return found.where(F.col("seq") != 8)
+    return audit.faults(log.frame(spark))
 
 
-@query()
+_CELLS = ", ".join(f"coalesce('v' || {x}, 'n')" for x in ("CAST(o_custkey AS VARCHAR)", "CAST(o_orderdate AS VARCHAR)", "CAST(o_orderkey AS VARCHAR)", "o_orderpriority", "o_orderstatus", "CAST(CAST(o_totalprice AS DECIMAL(38, 6)) AS VARCHAR)"))
+_HALF = "sum(CAST('0x' || substring(h, {0}, 8) AS BIGINT))"
+
+
+@query(f"SELECT count(*) AS n, concat(CAST({_HALF.replace('{0}', '1')} AS VARCHAR), '-', CAST({_HALF.replace('{0}', '9')} AS VARCHAR)) AS digest FROM (SELECT md5(concat_ws('|', {_CELLS})) AS h FROM {{orders}}) AS t")
 def resultset_fingerprint(spark, folder):
     return fingerprint(table(spark, folder, "orders"))
 
@@ -149,13 +178,15 @@ _CENTS = "CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT)"
 
 @query(f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, count(*) AS n, {_CENTS} AS cents FROM {{events}} GROUP BY 1")
 def stream_tumbling(spark, folder):
-    found = streaming.drained(streaming.tumbling(streaming.stream(spark, folder)), "complete")
+    events, close = streaming.closable(streaming.stream(spark, folder))
+    found = streaming.drained(streaming.tumbling(events), close)
     return found.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 @query("SELECT b AS bucket, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS b FROM {events}) AS t GROUP BY 1, 2")
 def stream_sliding(spark, folder):
-    found = streaming.drained(streaming.sliding(streaming.stream(spark, folder)), "complete")
+    events, close = streaming.closable(streaming.stream(spark, folder))
+    found = streaming.drained(streaming.sliding(events), close)
     return found.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
@@ -164,7 +195,8 @@ def stream_sliding(spark, folder):
     SELECT user_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS fresh FROM {events}) AS a) AS b GROUP BY user_id, s"""
 )
 def stream_sessions(spark, folder):
-    found = streaming.drained(streaming.sessions(streaming.stream(spark, folder)), "complete")
+    events, close = streaming.closable(streaming.stream(spark, folder))
+    found = streaming.drained(streaming.sessions(events), close)
     return found.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz"))
 
 
@@ -174,8 +206,19 @@ def stream_dedup(spark, folder):
     return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS n FROM {orders}")
+@query(
+    """SELECT p.event_id AS purchase, v.event_id AS view FROM {events} p JOIN {events} v ON v.user_id = p.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 12 HOUR
+    WHERE p.event_type = 'purchase' AND v.event_type = 'view'"""
+)
+def stream_interval_join(spark, folder):
+    """Each purchase with the views of the same user in the half day before it, both as streams."""
+    side = lambda kind: streaming.stream(spark, folder).where(F.col("event_type") == kind)
+    found = streaming.interval_join(side("purchase"), side("view"), "user_id", "12 hours")
+    return streaming.drained(found.select(F.col("event_id").alias("purchase"), F.col("other_event_id").alias("view")))
+
+
+@query("SELECT count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM {orders}")
 def metadata_count(spark, folder):
-    """Count of a table; the vectorised reader opens no column for it."""
-    return table(spark, folder, "orders").agg(F.count(F.lit(1)).alias("n"))
+    """Count and bounds of a table from the footers of its files: the aggregate is pushed into the scan, and no row is read."""
+    return tables.from_footers(spark, f"{folder}/orders.parquet").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 

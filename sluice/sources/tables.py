@@ -35,9 +35,21 @@ def view_statements(folder: str, names: tuple[str, ...]) -> list[str]:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the cluster's shared folder (``spark.checkpoint.dir``), a temporary one where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sluice-")
+    """A new path in the cluster's shared folder (``spark.checkpoint.dir``). Only a local master may do without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="sluice-")
     path = f"{folder.rstrip('/')}/sluice-{what}-{uuid.uuid4().hex}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
+
+
+def from_footers(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose counts, minima and maxima come from file footers, read in parallel by the executors."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path)
