@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.bank import case, query, table
+from sluice.registry import case, query, table
 
 case("join_inner", "SELECT o.o_orderkey AS o_orderkey, c.c_name AS c_name, n.n_name AS n_name FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {nation} n ON n.n_nationkey = c.c_nationkey WHERE o.o_totalprice > 200000")
 case("join_using", "SELECT a.n AS n_orders, b.n AS n_pairs, o_custkey FROM (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) a JOIN (SELECT o_custkey, count(DISTINCT o_orderpriority) AS n FROM {orders} GROUP BY o_custkey) b USING (o_custkey)")
@@ -72,9 +72,9 @@ def asof_previous(spark, folder):
     SELECT a.d AS d, min(b.d) AS next_business_day FROM days a JOIN days b ON b.d >= a.d AND b.d < a.d + 7 AND isodow(b.d) < 6 GROUP BY a.d"""
 )
 def business_day_roll(spark, folder):
-    """The next business day of each day: an ordered window over a calendar; the first business day from the row on."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date"))).alias("d"))
-    business = F.when(F.dayofweek("d").between(2, 6), F.col("d"))
-    ahead = Window.partitionBy(F.lit(0)).orderBy("d").rowsBetween(0, 7)
-    rolled = days.withColumn("next_business_day", F.first(business, ignorenulls=True).over(ahead))
+    """The next business day of each day, from the week that begins with it: no row looks at another."""
+    last = F.lit("2001-12-31").cast("date")
+    days = spark.range(1).select(F.explode(F.sequence(F.lit("1995-01-01").cast("date"), last)).alias("d"))
+    week = F.sequence(F.col("d"), F.least(last, F.date_add("d", 6)))
+    rolled = days.withColumn("next_business_day", F.get(F.filter(week, lambda d: F.dayofweek(d).between(2, 6)), F.lit(0)))
     return rolled.where("next_business_day IS NOT NULL")

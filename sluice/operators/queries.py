@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.bank import case, cents
+from sluice.registry import case, cents
 from sluice.operators.views import DEDUP, VERSIONS
 
 PRICE = cents("o_totalprice")
@@ -82,7 +82,7 @@ QUESTIONS = {
     "40": "SELECT c_mktsegment, count(*) AS n FROM {orders} JOIN {customer} ON c_custkey = o_custkey WHERE o_orderstatus <> 'P' GROUP BY c_mktsegment",
     "41": f"SELECT o_orderpriority, CAST(sum({cents('l_extendedprice * l_discount')}) AS DOUBLE) / CAST(sum({LINE}) AS DOUBLE) AS rate FROM {{lineitem}} JOIN {{orders}} ON o_orderkey = l_orderkey GROUP BY o_orderpriority",
     "42": f"SELECT s_nationkey, s_name, cents FROM (SELECT s_nationkey, s_name, cents, rank() OVER (PARTITION BY s_nationkey ORDER BY cents DESC, s_name) AS k FROM (SELECT s_nationkey, s_name, CAST(sum({LINE}) AS BIGINT) AS cents FROM {{lineitem}} JOIN {{supplier}} ON s_suppkey = l_suppkey GROUP BY s_nationkey, s_name) AS a) AS b WHERE k <= 3",
-    "43": f"SELECT s_name, cents, 100.0E0 * cents / CAST(sum(cents) OVER () AS DOUBLE) AS share FROM (SELECT s_name, CAST(sum({LINE}) AS BIGINT) AS cents FROM {{lineitem}} JOIN {{supplier}} ON s_suppkey = l_suppkey GROUP BY s_name) AS a ORDER BY cents DESC, s_name LIMIT 10",
+    "43": f"WITH a AS (SELECT s_name, CAST(sum({LINE}) AS BIGINT) AS cents FROM {{lineitem}} JOIN {{supplier}} ON s_suppkey = l_suppkey GROUP BY s_name), total AS (SELECT sum(cents) AS every FROM a) SELECT s_name, cents, 100.0E0 * cents / CAST(every AS DOUBLE) AS share FROM a CROSS JOIN total ORDER BY cents DESC, s_name LIMIT 10",
     "44": "SELECT s_suppkey FROM {supplier} s WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_suppkey = s.s_suppkey AND l.l_returnflag = 'R' AND l.l_quantity > 49)",
     "45": f"SELECT m, cents - lag(cents) OVER (ORDER BY m) AS change FROM (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS m, CAST(sum({LINE}) AS BIGINT) AS cents FROM {{lineitem}} GROUP BY 1) AS a",
     "46": "SELECT count(*) AS n FROM (SELECT o_custkey FROM {orders} GROUP BY o_custkey HAVING count(*) >= 5) AS t",

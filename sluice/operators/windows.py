@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.bank import case, cents
+from sluice.registry import case, cents
 
 _W = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
 case(
@@ -21,7 +21,8 @@ case(
     max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS earlier_max FROM {{orders}}""",
 )
 case("win_range_frame", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_partkey RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM {lineitem}")
-case("share_of_total", f"SELECT s_name, cents, CAST(cents AS DOUBLE) / CAST(sum(cents) OVER () AS DOUBLE) AS share FROM (SELECT s_name, CAST(sum({cents('l_extendedprice')}) AS BIGINT) AS cents FROM {{lineitem}} JOIN {{supplier}} ON s_suppkey = l_suppkey GROUP BY s_name) AS t ORDER BY cents DESC, s_name LIMIT 10")
+# A total of one row is joined: a window over everything would bring all rows into one task.
+case("share_of_total", f"WITH t AS (SELECT s_name, CAST(sum({cents('l_extendedprice')}) AS BIGINT) AS cents FROM {{lineitem}} JOIN {{supplier}} ON s_suppkey = l_suppkey GROUP BY s_name), total AS (SELECT sum(cents) AS every FROM t) SELECT s_name, cents, CAST(cents AS DOUBLE) / CAST(every AS DOUBLE) AS share FROM t CROSS JOIN total ORDER BY cents DESC, s_name LIMIT 10")
 case(
     "month_over_month",
     f"SELECT m, cents, cents - lag(cents) OVER (ORDER BY m) AS change FROM (SELECT date_format(o_orderdate, 'yyyy-MM') AS m, CAST(sum({cents('o_totalprice')}) AS BIGINT) AS cents FROM {{orders}} GROUP BY 1) AS t",
