@@ -6,7 +6,10 @@ inventory's meaning.
 
 from __future__ import annotations
 
-from sluice.registry import case
+from pyspark.sql import functions as F
+
+from sluice.functions import dialect
+from sluice.registry import case, query, table
 
 case(
     "date_parts",
@@ -83,3 +86,25 @@ case(
     "SELECT p_partkey, nullif(p_size, 0) AS nz, nullif(p_size - p_size, 0) AS z, trunc(p_retailprice - 1200) AS tr, list_value(p_size, 1)[2] AS lv, regexp_matches(p_name, 'a.*e') AS rm FROM {part}",
 )
 case("free_text_probe", "SELECT doc_id, lang FROM {documents} WHERE text ILIKE '%license%'")
+
+_UNITS = ("second", "minute", "hour", "day", "month", "quarter", "year")
+
+
+@query(f"SELECT event_id, {', '.join(f"date_diff('{u}', TIMESTAMP '2023-11-05 13:59:30.5', ts) AS {u}s" for u in _UNITS)}, epoch(ts) AS at, strftime(ts, '%d/%m/%y %H:%M o''clock, day %j') AS shown, strptime(strftime(ts, '%Y%m%dT%H%M%S'), '%Y%m%dT%H%M%S') AS parsed FROM {{events}}")
+def dialect_times(spark, folder):
+    """The dialect's functions of time, as Column expressions."""
+    at, ts = F.lit("2023-11-05 13:59:30.5").cast("timestamp_ntz"), F.col("ts")
+    form = "%Y%m%dT%H%M%S"
+    found = [dialect.date_diff(u, at, ts).alias(f"{u}s") for u in _UNITS]
+    return table(spark, folder, "events").select("event_id", *found, dialect.epoch(ts).alias("at"), dialect.strftime(ts, "%d/%m/%y %H:%M o'clock, day %j").alias("shown"), dialect.strptime(dialect.strftime(ts, form), form).alias("parsed"))
+
+
+_WIDTHS = {"quarter_hours": "15 minutes", "odd_hours": "7 hours", "days": "3 days", "weeks": "2 weeks", "months": "5 months", "years": "1 year"}
+
+
+@query(f"SELECT o_orderkey, {', '.join(f"time_bucket(INTERVAL '{w}', o_orderdate) AS {n}" for n, w in _WIDTHS.items())}, list_value(o_orderkey, o_custkey)[2] AS second, trunc(100000 - o_totalprice) AS whole, nullif(o_custkey % 2, 0) AS odd, regexp_matches(o_orderpriority, '^[12]') AS urgent FROM {{orders}}")
+def dialect_buckets(spark, folder):
+    day = F.col("o_orderdate")
+    found = [dialect.time_bucket(w, day).alias(n) for n, w in _WIDTHS.items()]
+    more = [F.get(dialect.list_value(F.col("o_orderkey"), F.col("o_custkey")), F.lit(1)).alias("second"), dialect.trunc(100000 - F.col("o_totalprice")).alias("whole"), dialect.nullifzero(F.col("o_custkey") % 2).alias("odd"), dialect.regexp_matches(F.col("o_orderpriority"), "^[12]").alias("urgent")]
+    return table(spark, folder, "orders").select("o_orderkey", *found, *more)
