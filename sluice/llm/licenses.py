@@ -1,10 +1,14 @@
 """License scans: sparse TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
 A text is looked at in windows of a line (long lines in overlapping windows) and in windows of several sizes over all its
-terms, wherever lines end, each window that has a word typical of licences as a vector over the templates' terms, weighted
-by inverse document frequencies counted over all documents. The template with the largest cosine names the window's licence,
-if the cosine is large enough, and the best window names the file's. That rights are reserved says least: any other licence
-in the file goes before it. An SPDX line names its licence itself.
+terms, wherever lines end, each window as a vector over the templates' terms, weighted by inverse document frequencies counted
+over all documents. The template with the largest cosine names the window's licence, if the cosine is large enough, and the
+best window names the file's. That rights are reserved says least: any other licence in the file goes before it. An SPDX line
+names its licence itself.
+
+Windows that can't be close to a template are passed over: a vector without any of a set of terms is no closer to a template
+than the root of the share that the other terms have in the template's square. gate_terms() takes the rarest terms of each
+template until that bound is under the smallest cosine that counts, so nothing is missed by asking for one of them.
 
 A licence file is one whose name says so, or whose whole text, other words included, is close to a template (which names the
 file's licence if no window does); it holds for its directory. A file without a licence of its own gets the one of the nearest directory above it that has one.
@@ -34,13 +38,24 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -48,17 +63,16 @@ TEMPLATES = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Proprietary", "Copyright. All rights reserved. Unauthorized copying is prohibited."),
     ("Proprietary", "All rights reserved."),
 )
 TERM = "[a-z]+|[0-9]+(?:[.][0-9]+)*"
-#: A window without any of these is no notice; every template has one.
-ANCHOR = "(?i)licen[cs]|public domain|permission is hereby|redistribution and use|all rights reserved"
-#: The same wherever lines end, and in terms with a space between them.
-WRAPPED = "(?i)licen[cs]|public[^a-z0-9]+domain|permission[^a-z0-9]+is[^a-z0-9]+hereby|redistribution[^a-z0-9]+and[^a-z0-9]+use|all[^a-z0-9]+rights[^a-z0-9]+reserved"
 SPDX = "(?i)SPDX-License-Identifier:[ \\t]*([A-Za-z0-9.-]+?)(?:-only|-or-later)?[+]?(?![A-Za-z0-9.+-])"
 #: The licence that any other goes before, and the words, in this order, without which a text doesn't have it.
 LEAST, RESERVED = "Proprietary", "(?i)all[^a-z0-9]+rights[^a-z0-9]+reserved"
+#: The licence of a text that has the terms of the one before it, and a clause more.
+SHORTER, LONGER, CLAUSE = "BSD-2-Clause", "BSD-3-Clause", "(?i)neither[^a-z0-9]+the[^a-z0-9]+names?[^a-z0-9]"
 FILE_NAME = "(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 WINDOW, STRIDE = 64, 32
 #: Sizes of the windows over a whole text; they overlap by three quarters.
@@ -66,7 +80,8 @@ RUNS = (16, 32, 64, 128)
 HEADER_COSINE = 0.75
 #: Tasks over which the files of one directory are spread where they meet its licence.
 SALTS = 32
-FILE_COSINE = 0.5
+#: Of a whole text that counts as a licence file; source files with a notice above their code stay below.
+FILE_COSINE = 0.75
 
 
 def template_terms() -> list[str]:
@@ -98,6 +113,32 @@ def template_vectors(weights: dict[str, float]) -> list[list[float]]:
     return out
 
 
+def gate_terms(weights: dict[str, float], least: float) -> list[str]:
+    """Terms of which every vector has one whose cosine to a template is ``least`` or more."""
+    terms, chosen = template_terms(), set()
+    for v in template_vectors(weights):
+        left = sum(x * x for t, x in zip(terms, v, strict=True) if t not in chosen)
+        # Words before numbers, rare ones first.
+        for t, x in sorted(zip(terms, v, strict=True), key=lambda p: (p[0][0].isdigit(), -weights[p[0]], p[0])):
+            if left < least * least * (1 - 1e-9):
+                break
+            if x and t not in chosen:
+                chosen.add(t)
+                left -= x * x
+    return sorted(chosen)
+
+
+def gate_pattern(terms: list[str]) -> str:
+    """A pattern that is in every lower-case text that has one of the terms (and in few others). Words with one first letter
+    are one branch."""
+    by: dict[str, list[str]] = {}
+    for t in terms:
+        by.setdefault(t[0], []).append(t[1:])
+    words = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by.items()) if not c.isdigit())
+    numbers = "|".join(re.escape(t) for t in terms if t[0].isdigit())
+    return "|".join(x for x in (f"(?<![a-z])(?:{words})(?![a-z])" if words else "", numbers) if x)
+
+
 def _best(terms: Column, weights: dict[str, float], others: bool) -> Column:
     """(cosine, template) of the closest template to an array of terms; ``others``: terms that no template has count too."""
     names = template_terms()
@@ -133,22 +174,25 @@ def cut(terms: Column, size: int, stride: int) -> Column:
     return F.transform(starts, lambda i: F.slice(terms, i * stride + 1, F.lit(size)))
 
 
-def windows_of(text: Column) -> Column:
-    """Arrays of terms: of each line with an anchor, long lines in overlapping windows."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(ANCHOR))
-    return F.when(text.rlike(ANCHOR), F.flatten(F.transform(F.transform(lines, terms_of), lambda t: cut(t, WINDOW, STRIDE)))).otherwise(F.array().cast("array<array<string>>"))
+def windows_of(text: Column, pattern: str) -> Column:
+    """Arrays of terms: of each line of a lower-case text that has the gate's pattern, long lines in overlapping windows."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(pattern))
+    return F.flatten(F.transform(F.transform(lines, terms_of), lambda t: cut(t, WINDOW, STRIDE)))
 
 
-def runs_of(text: Column) -> Column:
-    """Arrays of terms: the windows over all terms of a text that have an anchor."""
-    held = lambda t: F.concat(*[F.filter(cut(t, n, n // 4), lambda w: F.array_join(w, " ").rlike(WRAPPED)) for n in RUNS])
+def runs_of(text: Column, gate: list[str]) -> Column:
+    """Arrays of terms: the windows over all terms of a text that have one of the gate's."""
+    wanted = F.array(*map(F.lit, gate)).cast("array<string>")
+    held = lambda t: F.concat(*[F.filter(cut(t, n, n // 4), lambda w: F.arrays_overlap(w, wanted)) for n in RUNS])
     return F.flatten(F.transform(F.array(terms_of(text)), held))
 
 
 def own_licenses(files: DataFrame, weights: dict[str, float]) -> DataFrame:
     """``files`` (path, text) with __own (the licence of the best window), __cosine, and __file (the licence that a licence
-    file gives its directory). Windows beyond a line count if they are close enough to name a licence."""
+    file gives its directory). Windows beyond a line count if they are close enough to name a licence. __cosine is the largest
+    of a line's windows or of those; it is exact from FILE_COSINE on, and may be too small below."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lower, gate = F.lower(text), gate_terms(weights, min(FILE_COSINE, HEADER_COSINE))
     labels = F.array(*[F.lit(k) for k, _ in TEMPLATES])
     name = lambda best: F.get(labels, -best["template"])
 
@@ -156,18 +200,19 @@ def own_licenses(files: DataFrame, weights: dict[str, float]) -> DataFrame:
         best = F.transform(F.array(_best(t, weights, False)), lambda x: F.struct(((x["cosine"] >= HEADER_COSINE) & (name(x) != LEAST)).alias("first"), x["cosine"].alias("cosine"), x["template"].alias("template")))
         return F.get(best, F.lit(0))
 
-    some = text.rlike(WRAPPED)
-    line = F.array_max(F.transform(windows_of(text), ranked))
-    run = F.array_max(F.filter(F.transform(runs_of(text), ranked), lambda x: x["cosine"] >= HEADER_COSINE))
+    some = lower.rlike(gate_pattern(gate)) if gate else F.lit(False)
+    line = F.array_max(F.transform(windows_of(lower, gate_pattern(gate)), ranked))
+    run = F.array_max(F.filter(F.transform(runs_of(lower, gate), ranked), lambda x: x["cosine"] >= HEADER_COSINE))
     found = files.withColumns({"__line": F.when(some, line), "__run": F.when(some, run), "__whole": F.when(some, _best(terms_of(text), weights, True))})
     found = found.withColumn("__best", F.greatest("__line", "__run"))
     base = F.element_at(F.split("path", "/"), -1)
     spdx = F.lower(F.regexp_extract(text, SPDX, 1))
     said = F.get(F.filter(labels, lambda x: F.lower(x) == spdx), F.lit(0))
     close = F.coalesce(F.col("__whole.cosine"), F.lit(0.0)) >= FILE_COSINE
-    least = lambda label: F.when((label != LEAST) | text.rlike(RESERVED), label)
+    fuller = lambda label: F.when((label == SHORTER) & text.rlike(CLAUSE), LONGER).otherwise(label)
+    least = lambda label: F.when((label != LEAST) | text.rlike(RESERVED), fuller(label))
     far = F.when(F.col("__best.cosine") >= HEADER_COSINE, least(name(F.col("__best"))))
-    own = F.coalesce(F.when(some, said), F.when(F.col("__best.first"), far), F.when(close, least(name(F.col("__whole")))), far)
+    own = F.coalesce(F.when(spdx != "", said), F.when(F.col("__best.first"), far), F.when(close, least(name(F.col("__whole")))), far)
     found = found.withColumn("__own", own)
     named = F.coalesce(base.rlike(FILE_NAME), F.lit(False)) | close
     return found.withColumns({"__cosine": F.coalesce(F.col("__best.cosine"), F.lit(0.0)), "__file": F.when(named, F.col("__own"))}).drop("__line", "__run", "__best", "__whole")
@@ -200,8 +245,8 @@ def inherit(found: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """``files`` (path, text, other columns; text is left out) with license, license_from and cosine (of the closest template,
-    0 if no window was looked at). What the files say themselves is written first, so the texts are never shuffled.
+    """``files`` (path, text, other columns; text is left out) with license, license_from and cosine (to the closest
+    template, see own_licenses()). What the files say themselves is written first, so the texts are never shuffled.
 
     license_from is ``header`` for a licence in the file itself, ``directory`` for an inherited one, else ``none`` with a null
     license. Where a directory's files disagree, the licence that most of them have holds, the first by name if as many. Null
