@@ -10,7 +10,8 @@ histogram, boundaries and budget are all in words.
 
 Scale. The histogram is a partial aggregation with one row a distinct length; only it comes to the driver (d distinct lengths
 take d * d / 2 tokens of input at least). A sequence's batch follows from its rank in its bucket: sequences are dealt to
-groups by a hash of doc_id, the groups' sizes are summed up in order, and a window ranks the sequences inside each group, so
+groups by a hash of doc_id and of the row's own place, so rows that share a doc_id (or have none) don't meet in one group,
+the groups' sizes are summed up in order, and a window ranks the sequences inside each group, so
 no bucket is sorted in one task, and a bucket has one batch at most that isn't full.
 """
 
@@ -96,7 +97,9 @@ def pack(rows: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
     batch holds ``token_budget`` rows). A sequence longer than the budget is a batch of its own. Repeated rows are ranked
     apart. No rows give no rows.
     """
-    sized = written(rows.select("doc_id", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens")), "lengths")
+    # The place is drawn once, when the table is written.
+    own = F.xxhash64(F.col("doc_id"), F.col("n_tokens"), F.monotonically_increasing_id())
+    sized = written(rows.select("doc_id", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"), own.alias("own")), "lengths")
     histogram = sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").collect()
     lengths, counts = np.array([x.n_tokens for x in histogram], np.int64), np.array([x.n for x in histogram], np.int64)
     bounds = boundaries(lengths, counts, buckets)
@@ -106,12 +109,12 @@ def pack(rows: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
     for b in bounds[:-1]:
         bucket = bucket + (F.col("n_tokens") > b).cast("int")
     groups = max(1, -(-total // GROUP))
-    dealt = sized.withColumn("bucket", bucket).withColumn("group", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(groups)).cast("int"))
+    dealt = sized.withColumn("bucket", bucket).withColumn("group", F.pmod("own", F.lit(groups)).cast("int"))
     # One row for each bucket and group: far fewer than sequences, and summed up by ranges of their own bucket.
     before = Window.partitionBy("bucket").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"))
     offsets = sizes.select("bucket", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("bucket", "group").orderBy("doc_id", "n_tokens")
+    within = Window.partitionBy("bucket", "group").orderBy("doc_id", "n_tokens", "own")
     ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["bucket", "group"])
     bound = F.get(table, F.col("bucket"))
     size = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.lit(1), F.col("boundary")))).cast("long")
