@@ -4,9 +4,9 @@ Logistic regression over the words of a text and the beginnings of its longer wo
 text that names a group is also rewritten with the term swapped for others of its kind; besides the usual loss, the squared
 change of the score is penalised, so what tips a text is what is said and not whom it mentions.
 
-Learning takes at most ``per_class`` labelled documents of either label, the first by a hash of doc_id, joined to their texts,
-of each text at most ``LEARN_CHARS`` characters; the intercept is then set back to the labels' own share. Scoring is one pass
-over whole texts, without a shuffle.
+Learning takes at most ``per_class`` labelled documents of either label, the first by a hash of doc_id, joined to their whole
+texts; executors bring each text down to its distinct words, which are all that counts, and only those come to the driver. The
+intercept is then set back to the labels' own share. Scoring is one pass over whole texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import held, slices
+from sluice.llm.common import held, release, slices
 
 #: Groups of terms that may stand for each other in a sentence.
 IDENTITY = (
@@ -31,7 +31,7 @@ IDENTITY = (
     "mujeres hombres chicas chicos", "musulmanes cristianos judíos", "extranjeros refugiados inmigrantes",
 )
 PER_CLASS = 3000
-#: Characters that are learnt from of a labelled text; with PER_CLASS, the bound on what comes to the driver.
+#: Letters of a word that its own feature has, in learning and in scoring alike: an unbroken run of letters may have any length.
 LEARN_CHARS = 8000
 #: Features that are kept: the ones that tell the classes apart best, if they are in LEAST texts of the sample.
 FEATURES = 6000
@@ -54,13 +54,18 @@ def words_of(text: str | None) -> list[str]:
 
 def word_features(word: str) -> tuple[str, ...]:
     """The word, and its beginnings, marked as such."""
-    return (word, *(word[:k] + "*" for k in PREFIXES if k < len(word)))
+    return (word[:LEARN_CHARS], *(word[:k] + "*" for k in PREFIXES if k < len(word)))
 
 
 def features(words: list[str]) -> set[str]:
     return {f for w in set(words) for f in word_features(w)}
 
 
+def distinct(text: str | None) -> str | None:
+    """The distinct words of a text, which have its features and those of what it is swapped to."""
+    return text if text is None else " ".join(dict.fromkeys(w[:LEARN_CHARS] for w in words_of(text)))
+
+
 def swapped(words: list[str]) -> list[list[str]]:
     """The text once for each place in the kin of its terms: every term is swapped for its next, second next and so on."""
     most = max((len(_KIN[w]) for w in words if w in _KIN), default=0)
@@ -170,6 +175,12 @@ def score(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     return typed.mapInArrow(_scoring(sent, uuid.uuid4().hex, "score"), typed.schema)
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
+    for batch in slices(batches, "text"):
+        yield pa.record_batch([batch.column("doc_id"), pa.array(map(distinct, batch.column("text").to_pylist()), pa.string())], names=["doc_id", "text"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict[str, float]:
     """Weights from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks 0 or 1.
 
@@ -186,8 +197,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
         return {"": 0.0}
     # At most 2 * per_class ids: a bounded list, so the texts are found by one scan.
     ids = docs.sparkSession.createDataFrame([(i,) for i in drawn], "doc_id long")
-    texts = docs.select(F.col("doc_id").cast("long"), F.substring(F.col("text").cast("string"), 1, LEARN_CHARS).alias("text"))
-    rows = texts.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = texts.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = found.mapInArrow(_distinct, "doc_id long, text string").collect()
     rows.sort(key=lambda x: x.doc_id)
     return fit([x.text for x in rows], [drawn[x.doc_id] for x in rows], share=n[1] / sum(n))
 

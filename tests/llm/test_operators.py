@@ -646,6 +646,26 @@ def test_learning_is_bounded_by_characters(spark, monkeypatch):
     assert seen == [(["a" * toxicity.LEARN_CHARS, "b", None], [0, 1, 0])]
 
 
+def test_whole_texts_are_learnt_from(spark):
+    """What makes a text toxic may be its last word, however long the text, and a word may be a run of any length."""
+    filler, run = "some words of no weight at all " * 600, "x" * 3 * toxicity.LEARN_CHARS
+    for mark, other in (("vermin", "garden"), (run, "garden")):
+        rows = [(i, filler + (mark if i % 2 else other)) for i in range(100)]
+        docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+        found = toxicity.report(docs, labels).collect()
+        assert len(found) == 100 and any(r.held_out for r in found) and all(r.predicted == r.doc_id % 2 for r in found)
+
+
+def test_distinct_words_teach_what_whole_texts_do():
+    r = random.Random(4)
+    words = "Alpha beta, GAMMA delta_2 \u0130stanbul stra\u00dfe \u039f\u0394\u039f\u03a3 muslims christians vermin understanding".split()
+    texts = [" ".join(r.choices(words[:8] + words[8:] * (i % 3), k=r.choice([0, 4, 40, 400]))) for i in range(150)] + [None, ""]
+    toxic = [int(i % 3 > 0) for i in range(152)]
+    whole, brief = toxicity.fit(texts, toxic), toxicity.fit([toxicity.distinct(t) for t in texts], toxic)
+    assert whole.keys() == brief.keys() and all(brief[f] == pytest.approx(w, abs=1e-6) for f, w in whole.items())
+    assert toxicity.distinct(None) is None and all(toxicity.features(toxicity.words_of(t)) == toxicity.features(toxicity.words_of(toxicity.distinct(t))) for t in texts)
+
+
 def test_scores_against_the_weights(spark):
     """The query's scores are those of a plain logistic model over the features of each whole text."""
     r = random.Random(2)
