@@ -228,14 +228,14 @@ class Encoder:
             return []
         chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = chunks.flatten().dictionary_encode()
-        found = self._chunks(coded.dictionary.to_pylist())
-        ids, sizes = np.frombuffer(b"".join(found), np.uint32), np.array([len(x) for x in found], np.int64) // 4
-        which = coded.indices.to_numpy()
-        sizes, starts = sizes[which], (np.cumsum(sizes) - sizes)[which]
-        ends = np.cumsum(sizes)
-        joined = ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        found = self._chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # Taken as strings of bytes, the chunks' ids lie one after the other in one buffer.
+        laid = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, ends, joined = laid.buffers()
+        ends = np.frombuffer(ends, np.int64, len(laid) + 1) // 4 if len(laid) else np.zeros(1, np.int64)
+        joined = np.frombuffer(joined, np.uint32, int(ends[-1])) if ends[-1] else np.empty(0, np.uint32)
         at = chunks.offsets.to_numpy()
-        return np.split(joined, np.concatenate(([0], ends))[at[1:-1] - at[0]])
+        return np.split(joined, ends[at[1:-1] - at[0]])
 
 
 MANIFEST = T.StructType([T.StructField("task", T.LongType()), T.StructField("part", T.LongType()), T.StructField("file", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
